@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op6_langid
 from .media import op9_media
+from .mixing import op1_mixing
 from .quality import op3_quality
 from .sharding import op10_sharding
+from .simhash import op7_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op3_quality": op3_quality,
+    "op6_langid": op6_langid,
+    "op7_simhash": op7_simhash,
     "op9_media": op9_media,
     "op10_sharding": op10_sharding,
 }
