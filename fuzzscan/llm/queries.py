@@ -13,6 +13,7 @@ from .mixing import op1_mixing
 from .quality import op3_quality
 from .sharding import op10_sharding
 from .simhash import op7_simhash
+from .tokenfile import op8_tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
+    "op8_tokenfile": op8_tokenfile,
     "op9_media": op9_media,
     "op10_sharding": op10_sharding,
 }
