@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .html import op5_html
 from .langid import op6_langid
 from .media import op9_media
 from .mixing import op1_mixing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op5_html": op5_html,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_tokenfile": op8_tokenfile,
