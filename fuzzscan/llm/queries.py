@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe
 from .html import op5_html
 from .langid import op6_langid
+from .lm import op4_lm
 from .media import op9_media
 from .mixing import op1_mixing
 from .quality import op3_quality
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_lm": op4_lm,
     "op5_html": op5_html,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,

@@ -38,6 +38,15 @@ class Subwords:
         self.memo: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
+    def tokens(self) -> list[bytes]:
+        """The bytes of every id: byte-level tokens write each byte as one character of a fixed alphabet."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        out = [b""] * self.size
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            out[i] = bytes(chars.get(c, 63) for c in token)
+        return out
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
