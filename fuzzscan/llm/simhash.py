@@ -11,7 +11,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -132,13 +132,16 @@ def _signed(x: int) -> int:
 
 def probes(fps: DataFrame, plan: Plan) -> DataFrame:
     """part, key, fp: for each partition in use, the masked fingerprint with every change of up to t of its bits."""
+    def keys(i: int, mask: int, flips: list[int]) -> Column:
+        # one parameter each: a second one would get the element's index
+        masked = F.transform(F.array(*map(F.lit, flips)), lambda x: F.col("fp").bitwiseXOR(x).bitwiseAND(F.lit(mask)))
+        return F.transform(masked, lambda k: F.struct(F.lit(i).alias("part"), k.alias("key")))
+
     made = []
     for i, (part, t) in enumerate(zip(plan.parts, plan.allowed)):
         if t >= 0:
-            mask = F.lit(_signed(sum(1 << b for b in part)))
-            flips = [_signed(sum(1 << b for b in c)) for j in range(t + 1) for c in combinations(part, j)]
-            keys = F.transform(F.array(*map(F.lit, flips)), lambda x, mask=mask: F.col("fp").bitwiseXOR(x).bitwiseAND(mask))
-            made.append(F.transform(keys, lambda k, i=i: F.struct(F.lit(i).alias("part"), k.alias("key"))))
+            flips = [sum(1 << b for b in c) for j in range(t + 1) for c in combinations(part, j)]
+            made.append(keys(i, _signed(sum(1 << b for b in part)), [_signed(x) for x in flips]))
     return fps.select("fp", F.explode(F.concat(*made) if len(made) > 1 else made[0]).alias("p")).select("p.part", "p.key", "fp")
 
 
