@@ -26,35 +26,34 @@ HOT_ROWS, HOT_SHARE = 1000, 500
 _HASHES = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash, unsigned; 0 for a text without words."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash, unsigned; 0 for a text without words. Texts of fewer words than a shingle are one shingle."""
     words = (text or "").encode().translate(common.LOWER).split()
     if not words:
         return 0
     joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        hashes, n = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64), 1
-        return int(hashes[0])
+    if len(words) < shingle:
+        return xxhash.xxh64_intdigest(joined, SEED)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(words) - SHINGLE + 1
+    n = len(words) - shingle + 1
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _HASHES):
         stop = min(n, at + _HASHES)
         digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), ends[at + SHINGLE - 1 : stop + SHINGLE - 1].tolist())], ">u8")
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), ends[at + shingle - 1 : stop + shingle - 1].tolist())], ">u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = common.arrow_schema("doc_id long, fp long")
         for batch in batches:
             for part in common.slices(batch, "text"):
-                fps = np.array([fingerprint(t) for t in common.texts(part)], np.uint64).view(np.int64)
+                fps = np.array([fingerprint(t, shingle) for t in common.texts(part)], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], schema=schema)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -97,7 +96,7 @@ def allocate(cost: list[list[float]], total: int) -> tuple[float, tuple[int, ...
                 if used + k not in step or sum_ + c < step[used + k][0]:
                     step[used + k] = (sum_ + c, (*picks, k - 1))
         best = step
-    return best[total]
+    return best.get(total, (float("inf"), ()))
 
 
 def choose(sample: np.ndarray, n: int, distance: int = DISTANCE) -> Plan:
@@ -164,6 +163,20 @@ def forest(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def bucket_links(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one bucket of distinct fingerprints: all of them where they are few, else those of a forest."""
+    a, b, found = [], [], 0
+    for at in range(0, len(values), 256):
+        i, j = np.nonzero(np.bitwise_count(values[at : at + 256, None] ^ values[None, at:]) <= distance)
+        i, j = i[i < j], j[i < j]
+        found += len(i)
+        if found > 4 * len(values):
+            return forest(values, distance)
+        a.append(values[at + i])
+        b.append(values[at + j])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _links(rows: DataFrame, key: list[str], distance: int = DISTANCE) -> DataFrame:
     """a, b: links that connect what is connected inside each bucket (equal key columns), verified. rows must hold a
     bounded number of fingerprints a bucket. Buckets are streamed in order: memory holds a batch and one bucket."""
@@ -182,7 +195,7 @@ def _links(rows: DataFrame, key: list[str], distance: int = DISTANCE) -> DataFra
                 out_b.append(v[d:][near])
             at = np.cumsum(sizes) - sizes
             for s, n in zip(at[sizes > 16], sizes[sizes > 16]):
-                x, y = forest(np.unique(fp[s : s + n]), distance)
+                x, y = bucket_links(np.unique(fp[s : s + n]), distance)
                 out_a.append(x)
                 out_b.append(y)
             a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -248,13 +261,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def resolve(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def resolve(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id of every document.
 
     Copies meet as one fingerprint with its least id (summed before the shuffle), and links join distinct fingerprints
     only. Null and empty texts have fingerprint 0. Repeated rows each get a row; null ids are kept, never name a
     component, and get null if all ids reachable are null; an empty table gives none; other columns are ignored."""
-    prints = common.written(fingerprints(docs), "fingerprints")
+    prints = common.written(fingerprints(docs, shingle), "fingerprints")
     fps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")), "distinct")
     total, distinct = fps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     roots = components(links(fps, distinct, distance))
@@ -269,10 +282,10 @@ def resolve(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, with all columns, of one document of each component: the one with the least id. Rows without an
     id cannot be named by a component and stay; of rows that share the least id one stays."""
-    one = resolve(docs, distance)
+    one = resolve(docs, distance, shingle)
     named = common.written(one.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")), "survivors")
     unique = named.groupBy("__kept").count().where("count > 1").limit(1).count() == 0
     kept = docs.join(named, docs["doc_id"] == F.col("__kept"), "left_semi")
