@@ -56,7 +56,7 @@ def normalised(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
-            for part in common.slices(batch.slice(at, BLOCK), "text"):
+            for part in common.slices(batch.slice(at, BLOCK), "text", 1 << 20):
                 yield part, common.texts(part)
 
 
