@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -15,16 +16,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common
+from . import common, subword
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: A Python worker remembers the ids of so many pre-tokens and of as many older ones; when the young are full, the old are
-#: forgotten and the young become the old.
-MEMO = 400_000
-#: Characters of a text that are cut into pre-tokens at once; a longer text goes through in such pieces.
-SPAN = 1 << 20
-#: A place where no pre-token crosses: a space after and before something that is no white space.
-_SAFE = regex.compile(r"(?<=\S) (?=\S)")
+#: A Python worker remembers the ids of so many pre-tokens and of as many older ones.
+PIECES = 300_000
 
 
 class PerfectHash:
@@ -71,7 +67,7 @@ class PerfectHash:
         return out
 
 
-class Codec:
+class Codec(subword.WordEncoder):
     """Encodes and decodes with a rank file: a line for each token, its bytes in base 64 and its rank, which is its id."""
 
     def __init__(self, path: str, pattern: str):
@@ -87,69 +83,79 @@ class Codec:
         self.hash = PerfectHash(keys)
         self.slots = np.zeros(len(keys), np.int64)
         self.slots[self.hash.number(keys)] = [ranks[k] for k in keys]
-        self.pairs = {}
+        # by left id: right id and the id of the two together
+        self.pairs: list[dict[int, int]] = [{} for _ in self.tokens]
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
-                    self.pairs[a << 32 | b] = rank
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+                    self.pairs[a][b] = rank
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        super().__init__(np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4"))
 
-    def merged(self, piece: bytes) -> tuple[int, ...]:
+    def merged(self, piece: bytes) -> list[int]:
         """Merges the pair of least rank, the leftmost of equals, until none is left: a heap of rank and place over a
         doubly linked list. An entry counts only if the pair at its place still has its rank."""
-        ids = [self.bytes[c] for c in piece]
-        n, pair = len(ids), self.pairs.get
+        ids, pairs = [self.bytes[c] for c in piece], self.pairs
+        n = len(ids)
+        bits = n.bit_length()
+        places = (1 << bits) - 1
+        ranks = [pairs[a].get(b, -1) for a, b in zip(ids, ids[1:])]
+        heap = [r << bits | i for i, r in enumerate(ranks) if r >= 0]
+        if not heap:
+            return ids
+        ranks.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | i for i in range(n - 1) if (r := pair(ids[i] << 32 | ids[i + 1])) is not None]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i, rank = top & 0xFFFFFFFF, top >> 32
-            j = after[i]
-            if ids[i] < 0 or j >= n or pair(ids[i] << 32 | ids[j]) != rank:
+            i, rank = top & places, top >> bits
+            if ranks[i] != rank:
                 continue
-            ids[i], ids[j], k = rank, -1, after[j]
-            after[i] = k
+            j = after[i]
+            k = after[i] = after[j]
+            ids[i], ids[j], ranks[j] = rank, -1, -1
             if k < n:
                 before[k] = i
-                if (r := pair(rank << 32 | ids[k])) is not None:
-                    heappush(heap, r << 32 | i)
+                r = ranks[i] = pairs[rank].get(ids[k], -1)
+                if r >= 0:
+                    heappush(heap, r << bits | i)
+            else:
+                ranks[i] = -1
             p = before[i]
-            if p >= 0 and (r := pair(ids[p] << 32 | rank)) is not None:
-                heappush(heap, r << 32 | p)
-        return tuple(x for x in ids if x >= 0)
+            if p >= 0:
+                r = ranks[p] = pairs[ids[p]].get(rank, -1)
+                if r >= 0:
+                    heappush(heap, r << bits | p)
+        return [x for x in ids if x >= 0]
 
     def learn(self, pieces: list[str]) -> None:
-        """Puts the ids of these pre-tokens into the memo: whole ones from the perfect hash, the others merged."""
+        """Remembers the ids of these pre-tokens: whole ones from the perfect hash, the others merged."""
         raw = [p.encode() for p in pieces]
         numbers = self.hash.number(raw)
         ids = np.where(numbers >= 0, self.slots[numbers], 0).tolist()
-        tokens, memo = self.tokens, self.memo
+        tokens, item = self.tokens, self.dtype.itemsize
+        code = "H" if item == 2 else "I"
         for piece, key, number, i in zip(pieces, raw, numbers.tolist(), ids):
-            memo[piece] = (i,) if number >= 0 and tokens[i] == key else self.merged(key)
-
-    def spans(self, text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > SPAN:
-            m = _SAFE.search(text, at + SPAN)
-            if not m:
-                break
-            yield text[at : m.start()]
-            at = m.start()
-        yield text[at:] if at else text
-
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        found = [[p for span in self.spans(t) for p in self.find(span)] if t else [] for t in texts]
-        memo = self.memo
-        new = {p for pieces in found for p in pieces if p not in memo}
-        if len(memo) + len(new) > MEMO:
-            self.old, self.memo = memo, {}
-            memo, new = self.memo, {p for pieces in found for p in pieces}
-        old = self.old
-        memo.update([(p, old[p]) for p in new if p in old])
-        self.learn([p for p in new if p not in memo])
-        return [[i for p in pieces for i in memo[p]] for pieces in found]
+            if number >= 0 and tokens[i] == key:
+                self.pieces[piece] = i.to_bytes(item, "little")
+            else:
+                self.pieces[piece] = array(code, self.merged(key)).tobytes()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = list(map(self.find, texts))
+        known = self.pieces
+        new = {p for pieces in found for p in pieces if p not in known}
+        if len(known) + len(new) > PIECES:
+            self.older, self.pieces = known, {}
+            known, new = self.pieces, {p for pieces in found for p in pieces}
+        older = self.older
+        known.update([(p, older[p]) for p in new if p in older])
+        self.learn([p for p in new if p not in known])
+        return [b"".join([known[p] for p in pieces]) for pieces in found]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        return self.whole([" " + w for w in words])
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.tokens
@@ -168,6 +174,10 @@ def codec(name: str = VOCABULARY) -> Codec:
     return Codec(common.tokenizer_file(name), public_tokenizers.PATTERN)
 
 
+def _lists(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(ids.astype(np.int32)))
+
+
 def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """doc_id and ids (array of int) of every document. Null and empty texts have no ids; repeated rows each get a row;
     null ids are kept; an empty table gives none; other columns are ignored."""
@@ -177,7 +187,7 @@ def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
         use = codec(name)
         for batch in batches:
             for part in common.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(use.encode_batch(common.texts(part)), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(*use.encode_arrays(part.column(1)))], names=["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ddl)
 
@@ -202,7 +212,10 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
         use, schema, digest = codec(name), common.arrow_schema(ddl), hashlib.sha256
         for batch in batches:
             for part in common.slices(batch, "text"):
-                made = [(len(ids), digest(use.listed(ids)).hexdigest(), digest(use.decode(ids)).hexdigest()) for ids in use.encode_batch(common.texts(part))]
+                flat, lengths = use.encode_arrays(part.column(1))
+                stops = np.cumsum(lengths)
+                each = (flat[a:b].tolist() for a, b in zip((stops - lengths).tolist(), stops.tolist()))
+                made = [(len(ids), digest(use.listed(ids)).hexdigest(), digest(use.decode(ids)).hexdigest()) for ids in each]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*made), list(schema)[1:]))], schema=schema)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ddl)

@@ -1,27 +1,148 @@
-"""Whole texts to ids with the tokenizers library, each distinct word once."""
+"""Whole texts to ids, each distinct word once: by the tokenizers library here, by merges of our own in bpe."""
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common
 
 #: A worker remembers the ids of so many words and of as many older ones.
-MEMO = 400_000
-#: Characters that the library gets at once, and of a text that are split at once.
-CHUNK, SPAN = 1 << 16, 1 << 20
+MEMO = 250_000
+#: Words that the library gets as one text (it is quickest on texts of about 2 KB), and characters of a text that are
+#: split at once.
+TOGETHER, SPAN = 200, 1 << 20
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Words joined by spaces: some word is empty, or begins or ends with white space.
+_UNSAFE = re.compile(r"\s\s|^\s|\s\Z|^\Z")
+#: In place of the ids of a word whose space is not safe.
+WHOLE = 0
 
 
-class Subwords:
-    """Byte-level BPE of a tokenizers file. The pre-tokenizer never crosses a space that stands between two characters
-    which are no white space, so a text is split there and each word, with its space, is looked up or learned; texts
-    with other spaces go to the library whole. Results equal those of encoding whole texts."""
+class WordEncoder:
+    """Encodes by words. A byte-level pre-tokenizer never crosses a space that stands between two characters which are no
+    white space, so a text is split there; each distinct word, with its space, is looked up or learned, and texts with
+    other spaces are encoded whole. Results equal those of encoding whole texts. Subclasses say how to encode."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.memo: dict[str, bytes | int] = {}
+        self.old: dict[str, bytes | int] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, encoded as it is."""
+        raise NotImplementedError
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it; no word is empty or has white space at either end."""
+        raise NotImplementedError
+
+    def _learn(self, words: list[str]) -> None:
+        if words and _UNSAFE.search(" ".join(words)):
+            odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
+            self.memo.update(dict.fromkeys(odd, WHOLE))
+            words = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        if words:
+            self.memo.update(zip(words, self.words(words)))
+
+    def spans(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > SPAN:
+            m = _SAFE.search(text, at + SPAN)
+            if not m:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as bytes of self.dtype; null and empty texts have none."""
+        ids, lengths = self.encode_arrays(pa.array(texts, pa.string()))
+        stops = np.cumsum(lengths)
+        return [ids[a:b].tobytes() for a, b in zip((stops - lengths).tolist(), stops.tolist())]
+
+    def encode_arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row and the number of each text's."""
+        filled = texts.fill_null("")
+        long = np.flatnonzero(pc.binary_length(filled).to_numpy(zero_copy_only=False) > 4 * SPAN)
+        if not len(long):
+            return self._encode(filled)
+        # a very long text goes through in spans of its own
+        ids, lengths, at = [], [], 0
+        for i in [*long.tolist(), len(filled)]:
+            made, n = self._encode(filled.slice(at, i - at))
+            ids.append(made)
+            lengths.append(n)
+            if i < len(filled):
+                parts = [self._encode(pa.array([x], pa.string()))[0] for x in self.spans(filled[i].as_py())]
+                ids += parts
+                lengths.append(np.array([sum(map(len, parts))], np.int64))
+            at = i + 1
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def encode_binary(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """The ids of each text as a binary column, with `end` behind each if it is given."""
+        ids, lengths = self.encode_arrays(texts)
+        if end is not None:
+            ids, lengths = np.insert(ids, np.cumsum(lengths), end), lengths + 1
+        stops = np.concatenate([[0], np.cumsum(lengths)]) * self.dtype.itemsize
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words are split and numbered by Arrow; each distinct one is looked up once, and ids are gathered by number."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        words = split.flatten()
+        heads = words.take(pa.array(offsets[:-1])).to_pylist()
+        table = words.dictionary_encode()
+        codes, keys = table.indices.to_numpy().astype(np.int64), table.dictionary.to_pylist()
+        codes[offsets[:-1]] = len(keys) + np.arange(len(heads))
+        found = list(map(self.memo.get, keys))
+        new = [k for k, x in zip(keys, found) if x is None]
+        if len(self.memo) + len(new) > MEMO:  # what is found stays found
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        if old:
+            memo.update([(w, old[w]) for w in new if w in old])
+        self._learn([w for w in new if w not in memo])
+        found = [memo[k] if x is None else x for k, x in zip(keys, found)]
+        odd = np.array([x == WHOLE for x in found], bool)
+        if odd.any():
+            found = [b"" if x == WHOLE else x for x in found]
+        found += self.whole(heads)
+        item = self.dtype.itemsize
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // item
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        per_word = sizes[codes]
+        ends = np.cumsum(per_word)
+        index = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - per_word), per_word) + np.arange(int(ends[-1]))
+        ids = flat[index]
+        stops = ends[offsets[1:] - 1]
+        lengths = np.diff(np.concatenate([[0], stops]))
+        unsafe = np.array([h[-1:].isspace() for h in heads], bool)
+        if odd.any():
+            unsafe |= np.add.reduceat(np.append(odd, np.zeros(len(heads), bool))[codes], offsets[:-1]) > 0
+        if not unsafe.any():
+            return ids, lengths
+        parts = np.split(ids, stops[:-1])
+        at = np.flatnonzero(unsafe)
+        for i, raw in zip(at.tolist(), self.whole([texts[i].as_py() for i in at.tolist()])):
+            parts[i] = np.frombuffer(raw, self.dtype)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+
+class Subwords(WordEncoder):
+    """Byte-level BPE of a tokenizers file, by the library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,12 +152,10 @@ class Subwords:
         self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        super().__init__(np.dtype("<u2" if self.size <= 1 << 16 else "<u4"))
         self.lengths = np.zeros(self.size, np.int64)
         for token, i in vocabulary.items():  # a byte of text is one character of a token
             self.lengths[i] = len(token)
-        self.memo: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
 
     def tokens(self) -> list[bytes]:
         """The bytes of every id: byte-level tokens write each byte as one character of a fixed alphabet."""
@@ -47,82 +166,53 @@ class Subwords:
             out[i] = bytes(chars.get(c, 63) for c in token)
         return out
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        plain = []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                self.memo[w] = None  # the space before or behind it is not safe
-            else:
-                plain.append(w)
-        chunk: list[str] = []
-        size = 0
-        for w in [*plain, None]:
-            if w is None or size > CHUNK:
-                if chunk:
-                    self._learn_chunk(chunk)
-                chunk, size = [], 0
-            if w is not None:
-                chunk.append(w)
-                size += len(w) + 1
-
-    def _learn_chunk(self, words: list[str]) -> None:
-        text = " " + " ".join(words)
-        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+    def words(self, words: list[str]) -> list[bytes]:
+        texts = [" " + " ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        ids = np.array([x for e in self.library.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], self.dtype)
+        flat = np.frombuffer("".join(texts).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(flat == 32)[1:], len(flat))
         token_ends = np.cumsum(self.lengths[ids])
         cuts = np.searchsorted(token_ends, ends)
-        if len(ids) and token_ends[-1] == ends[-1] and (token_ends[cuts] == ends).all():
-            raw, width, at = ids.tobytes(), self.dtype.itemsize, 0
-            for w, cut in zip(words, ((cuts + 1) * width).tolist()):
-                self.memo[w] = raw[at:cut]
-                at = cut
-        else:
-            for w, x in zip(words, self._whole([" " + w for w in words])):
-                self.memo[w] = x
+        if len(ids) and token_ends[-1] == len(flat) and (token_ends[cuts] == ends).all():
+            raw, stops = ids.tobytes(), (cuts + 1) * self.dtype.itemsize
+            return list(map(raw.__getitem__, map(slice, [0, *stops[:-1].tolist()], stops.tolist())))
+        return self.whole([" " + w for w in words])
 
-    def spans(self, text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > SPAN:
-            m = _SAFE.search(text, at + SPAN)
-            if not m:
-                break
-            yield text[at : m.start()]
-            at = m.start()
-        yield text[at:] if at else text
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes of self.dtype; null and empty texts have none."""
-        out = [b""] * len(texts)
-        short = [i for i, t in enumerate(texts) if t and len(t) <= SPAN]
-        for i, ids in zip(short, self._encode([texts[i] for i in short])):
-            out[i] = ids
-        for i, t in enumerate(texts):
-            if t and len(t) > SPAN:
-                out[i] = b"".join(self._encode([s])[0] for s in self.spans(t))
-        return out
+class RankIds:
+    """Byte-level BPE of a rank file, by the tiktoken library: quick on whole texts and without memory of its own, for
+    operators that need ids but not those of a tokenizers file. One id behind the ranks is free, for an end."""
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        memo = self.memo
-        new = {w for words in split for w in words[1:] if w not in memo}
-        if len(memo) + len(new) > MEMO:
-            self.old, self.memo = memo, {}
-            memo, new = self.memo, {w for words in split for w in words[1:]}
-        old = self.old
-        memo.update([(w, old[w]) for w in new if w in old])
-        self._learn([w for w in new if w not in memo])
-        first = self._whole([words[0] for words in split])
-        out = []
-        for text, words, head in zip(texts, split, first):
-            parts = [memo[w] for w in words[1:]]
-            if words[0][-1:].isspace() or None in parts:
-                out.append(self._whole([text])[0])
-            else:
-                out.append(head + b"".join(parts))
-        return out
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.end = max(ranks.values()) + 1
+        self.size = self.end + 1
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self._tokens = [b""] * self.size
+        for token, rank in ranks.items():
+            self._tokens[rank] = token
+
+    def tokens(self) -> list[bytes]:
+        return self._tokens
+
+    def encode_binary(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as a binary column; null and empty texts have none."""
+        made = [self.library.encode_to_numpy(t, disallowed_special=()).astype(self.dtype).tobytes() if t else b"" for t in texts.to_pylist()]
+        return pa.array(made, pa.binary())
+
+
+@lru_cache(maxsize=2)
+def rank_ids(name: str) -> RankIds:
+    """One for each Python worker."""
+    return RankIds(common.tokenizer_file(name))
 
 
 @lru_cache(maxsize=2)

@@ -19,7 +19,7 @@ from . import common, subword
 VOCABULARY, END = "byte_bpe_50k.json", 2
 MAGIC = b"WVM1"
 #: Tokens of a file; a longer document has a file of its own.
-FILE_TOKENS = 4 << 20
+FILE_TOKENS = 1 << 20
 FILES = "part int, file int, n_docs long, n_tokens long, payload binary"
 
 
@@ -172,10 +172,9 @@ def encode(docs: DataFrame, name: str = VOCABULARY, end: int = END) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = subword.subwords(name)
-        last = np.array([end], use.dtype).tobytes()
         for batch in batches:
-            for part in common.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + last for x in use.encode_batch(common.texts(part))], pa.binary())], schema=common.arrow_schema(ddl))
+            for part in common.slices(batch, "text", 16 << 20):
+                yield pa.RecordBatch.from_arrays([part.column(0), use.encode_binary(part.column(1), end)], schema=common.arrow_schema(ddl))
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ddl)
 
