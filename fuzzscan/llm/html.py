@@ -6,7 +6,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +47,9 @@ class Block:
     linked: int
     bad: bool
     inside: bool
+    heading: bool = False
     label: str = ""
-    near: bool = field(default=False)
+    near: bool = False
 
 
 def _marked(attributes: str) -> bool:
@@ -61,7 +62,7 @@ def blocks(page: str) -> list[Block]:
     is no article by its tag, class, id or role, and whether inside an article element."""
     out: list[Block] = []
     words: list[str] = []
-    linked, in_link, leaf_bad = 0, False, False
+    linked, in_link, leaf_bad, heading = 0, False, False, False
     open_: list[tuple[str, bool, bool]] = []  # name, bad, inside an article
     at = 0
 
@@ -78,7 +79,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(words).split())
         if text:
             top = open_[-1] if open_ else ("", False, False)
-            out.append(Block(text, linked, top[1] or leaf_bad, top[2]))
+            out.append(Block(text, linked, top[1] or leaf_bad, top[2], heading))
         words.clear()
         linked = 0
 
@@ -102,6 +103,7 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCKS or name in BAD_TAGS:
             close()
             in_link = leaf_bad = False
+            heading = not ending and len(name) == 2 and name[0] == "h" and name != "hr"
             if name in LEAVES:
                 leaf_bad = not ending and _marked(attributes)
             elif not ending:
@@ -124,13 +126,13 @@ def classify(found: list[Block]) -> None:
     short ones, and inside an article those with few stop words, are ambiguous. Second pass: an ambiguous block takes
     the label of the nearest decided block; an article's own edges count as decided good blocks next to its first and
     last one, bad parts inside it do not count. With neighbours as near on both sides, good wins for blocks that
-    have some stop words or stand inside an article."""
+    have some stop words or stand inside an article. A heading outside an article goes with what follows it."""
     for b in found:
         solid = len("".join(b.text.split()))
         if b.bad or b.linked > MOST_LINKED * solid:
             b.label = "bad"
             continue
-        if len(b.text) < SHORT:
+        if len(b.text) < SHORT or b.heading:
             continue
         words = _WORD.findall(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
@@ -145,7 +147,7 @@ def classify(found: list[Block]) -> None:
         if b.label:
             continue
         distance = {"good": n + 1, "bad": n + 1}
-        for step in (-1, 1):
+        for step in (1,) if b.heading and not b.inside else (-1, 1):
             j, d = i + step, 1
             while 0 <= j < n:
                 if b.inside and not found[j].inside:
