@@ -71,17 +71,18 @@ class Block:
     def costs(self, pattern: bytes, rise: np.ndarray) -> np.ndarray:
         """C at every place of the block (index i: after i + 1 bytes), counted from the left edge of the block.
         rise[j]: how much more j + 1 pattern characters cost than j before any text."""
+        # bits above the block are left to grow by one a row: sums and shifts carry only upwards, so they change nothing
         full, up, down = self.all, 0, 0
         for j, byte in enumerate(pattern):
             equal = self.mask(byte)
             diagonal = (((equal & up) + up) ^ up) | equal | down
-            more = down | (full ^ (diagonal | up) & full)
-            less = diagonal & up
-            more = (more << 1 | int(rise[j])) & full
-            less = less << 1 & full
-            up = less | (full ^ (diagonal | more) & full)
-            down = more & diagonal & full
-            up &= full
+            more = (down | full & ~(diagonal | up)) << 1
+            if rise[j]:
+                more |= 1
+            less = (diagonal & up) << 1
+            up = less | full & ~(diagonal | more)
+            down = more & diagonal
+        up, down = up & full, down & full
         size = -(-self.n // 8)
         bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), count=self.n, bitorder="little").view(np.int8)
         return int(rise.sum()) + np.cumsum(bits(up) - bits(down), dtype=np.int32)
