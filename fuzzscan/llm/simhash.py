@@ -271,14 +271,14 @@ def resolve(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -
     fps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")), "distinct")
     total, distinct = fps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     roots = components(links(fps, distinct, distance))
-    joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("label").alias("component_id"))
     named = common.written(joined.join(least, "root").select("fp", "component_id", "n"), "named")
     hot = named.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("fp", "component_id", F.lit(True).alias("hot"))
     split = prints.join(F.broadcast(hot), "fp", "left")  # HOT_SHARE rows at most
     return (
         split.where("hot").select("doc_id", "fp", "component_id")
-        .unionAll(split.where("hot is null").select("doc_id", "fp").join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id"))
+        .unionAll(split.where("hot is null").select("doc_id", "fp").join(named.select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id"))
     )
 
 
@@ -288,7 +288,8 @@ def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> D
     one = resolve(docs, distance, shingle)
     named = common.written(one.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")), "survivors")
     unique = named.groupBy("__kept").count().where("count > 1").limit(1).count() == 0
-    kept = docs.join(named, docs["doc_id"] == F.col("__kept"), "left_semi")
+    # a merge join: a column of ids can be far smaller in its file, by which Spark would judge it, than in memory
+    kept = docs.join(named.hint("merge"), docs["doc_id"] == F.col("__kept"), "left_semi")
     if not unique:
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionAll(docs.where("doc_id is null"))
