@@ -3,7 +3,6 @@ run in order of rejections per unit of cost."""
 
 from __future__ import annotations
 
-import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -11,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
@@ -22,7 +22,7 @@ SAMPLE = 256
 #: Words above which repeated windows are found by sorting hashes instead of a set of tuples.
 LONG = 1 << 20
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Features:
@@ -40,8 +40,16 @@ class Features:
         self.n_lines = len(lines)
         self.n_dup_lines = len(lines) - len(set(lines))
         self.n_repeat_words = repeated_words(self.words)
+        self._strings: list[str] | None = None
         self.base_failed = self.n_words < 10 or 100 * self.n_repeat_words > 20 * self.n_words
 
+    @property
+    def strings(self) -> list[str]:
+        """The words as strings, for the rules that look at letters."""
+        if self._strings is None:
+            self._strings = b"\n".join(self.words).decode().split("\n") if self.words else []
+        return self._strings
+
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
     """Words that lie in a window of five words which the text holds twice or more."""
@@ -82,12 +90,12 @@ class Rule:
 
 def _letters(f: Features) -> bool:
     """Fewer than 7 of 10 words have a letter."""
-    return 10 * sum(_LETTER.search(w) is not None for w in f.text.split()) < 7 * f.n_words
+    return 10 * sum(_LETTER.search(w) is not None for w in f.strings) < 7 * f.n_words
 
 
 def _shouting(f: Features) -> bool:
     """Over half of the words with a letter have no lower-case letter but two upper-case ones."""
-    loud = sum(w.isupper() and len(w) > 1 for w in f.text.split())
+    loud = sum(w.isupper() and len(w) > 1 for w in f.strings)
     return 2 * loud > f.n_words
 
 
@@ -151,3 +159,22 @@ def keep(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of all documents."""
     return judge(common.table(spark, sf_dir, "documents"))
+
+
+#: The same rows in DuckDB's SQL.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS again FROM g) WHERE again > 1) GROUP BY doc_id),
+    m AS (SELECT doc_id, t, w, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+        coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, length(t) - length(replace(t, '!', '')) AS calls,
+        len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS lettered, len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 1)) AS loud
+        FROM d LEFT JOIN c USING (doc_id)),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR 10 * n_symbols > n_words OR word_chars NOT BETWEEN 2 * n_words AND 20 * n_words OR 10 * n_dup_lines > 3 * n_lines
+        OR 10 * calls > 3 * n_words OR 10 * lettered < 7 * n_words OR 2 * loud > n_words) AS kept, n_lines FROM b
+"""
