@@ -125,7 +125,8 @@ class WordEncoder:
         flat = np.frombuffer(b"".join(found), self.dtype)
         per_word = sizes[codes]
         ends = np.cumsum(per_word)
-        index = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - per_word), per_word) + np.arange(int(ends[-1]))
+        index = np.repeat(((np.cumsum(sizes) - sizes)[codes] - (ends - per_word)).astype(np.int32), per_word)
+        index += np.arange(len(index), dtype=np.int32)
         ids = flat[index]
         stops = ends[offsets[1:] - 1]
         lengths = np.diff(np.concatenate([[0], stops]))
