@@ -1,0 +1,239 @@
+"""Near-duplicates by exact shingle similarity: a set-similarity join with prefix, length and position filters, none of
+which can lose a pair, and every link verified on the whole shingle sets."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common, simhash
+
+SHINGLE = 5
+#: Least Jaccard similarity of a link, as a fraction.
+UP, DOWN = 4, 5
+#: Texts from which common shingles are found, and how many of them must hold one. Common shingles go to the end of the
+#: order in which prefixes are taken; the order moves cost, not results.
+SAMPLE, COMMON = 16384, 4
+#: Neighbours in a bucket that are compared first, so that tight groups are linked before all pairs are looked at.
+NEAR = 3
+#: Bits of the table by which sets that no pair needs are left out before the shuffle; at most 8 MB reach the driver.
+BITS = 26
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the distinct shingles (A-Z lowered), ascending. A text of fewer words than a shingle is one shingle, a
+    text without words has none."""
+    words = (text or "").encode().translate(common.LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return np.array([digest(joined, simhash.SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = len(words) - size + 1
+    return np.unique(np.array([digest(joined[a:b], simhash.SEED) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())], np.uint64))
+
+
+def prefix(own: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(UP / DOWN x n) + 1 shingles of a set in the global order: rare ones by hash, then those of
+    `often` (ascending) by rank. Two sets as similar as UP / DOWN share one of their prefixes, whatever the order."""
+    keep = len(own) - -(-UP * len(own) // DOWN) + 1 if len(own) else 0
+    if not len(often):
+        return own[:keep]
+    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+    hit = often[at] == own
+    rare = own[~hit]
+    if len(rare) >= keep:
+        return rare[:keep]
+    return np.concatenate([rare, own[hit][np.argsort(rank[at[hit]], kind="stable")]])[:keep]
+
+
+def common_shingles(docs: DataFrame, n: int, size: int = SHINGLE, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the shingles of COMMON of about `sample` documents or more, and their ranks by count."""
+    share = min(1.0, sample / max(1, n))
+    ddl = "key long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                sets = [shingles(t, size) for t in common.texts(part)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], schema=common.arrow_schema(ddl))
+
+    picked = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text").distinct()
+    found = picked.mapInArrow(run, ddl).groupBy("key").count().where(F.col("count") >= COMMON).toArrow()
+    keys, counts = found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, counts))] = np.arange(len(keys))
+    order = np.argsort(keys)
+    return keys[order], rank[order]
+
+
+def sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (a hash of the shingle set), uid (a number of the row), n (shingles), prefix and all."""
+    ddl = "doc_id long, fp long, uid long, n int, prefix array<long>, all binary"
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, docs.count(), size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        uid, (often, rank) = TaskContext.get().partitionId() << 40, sent.value
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                own = [shingles(t, size) for t in common.texts(part)]
+                first = [prefix(x, often, rank) for x in own]
+                cuts = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+                fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), simhash.SEED) for x in own], np.uint64).view(np.int64)
+                flat = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(fp), pa.array(uid + np.arange(len(own))), pa.array([len(x) for x in own], pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)), pa.array([x.tobytes() for x in own], pa.binary())],
+                    names=["doc_id", "fp", "uid", "n", "prefix", "all"],
+                )
+                uid += len(own)
+
+    return common.written(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ddl), "sets")
+
+
+def _streamed(rows: DataFrame, key: list[str], order: list[str], ddl: str, made) -> DataFrame:
+    """made(bucket numbers, columns) of whole buckets (equal key columns) of rows. Memory holds a batch and a bucket."""
+    names = [c for c in rows.columns if c not in key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
+            if not len(rest[0]):
+                continue
+            new = np.any([x[1:] != x[:-1] for x in rest[: len(key)]], 0)
+            bucket = np.concatenate([[0], np.cumsum(new)])
+            last = np.searchsorted(bucket, bucket[-1])
+            if last:
+                yield from made(bucket[:last], [x[:last] for x in rest])
+                rest = [x[last:] for x in rest]
+        if rest is not None and len(rest[0]) > 1:
+            yield from made(np.zeros(len(rest[0]), np.int64), rest)
+
+    return rows.select(*key, *names).repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, ddl)
+
+
+def _fits(na: np.ndarray, nb: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Whether sets of na and nb shingles whose first common one stands at ia and ib can be as similar as UP / DOWN."""
+    most = np.minimum(na - ia, nb - ib)
+    return (UP + DOWN) * most >= UP * (na + nb)
+
+
+def _batch(ddl: str, *columns: np.ndarray) -> pa.RecordBatch:
+    schema = common.arrow_schema(ddl)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _marked(all_sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (uid, all) whose uid is wanted, and a few more: those that share a bit with one."""
+    place = lambda: F.pmod(F.xxhash64("uid"), F.lit(1 << BITS))
+    words = wanted.select(place().alias("p")).groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 5), np.uint32)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    sent = all_sets.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(2).to_numpy()
+            yield batch.select(["uid", "all"]).filter(pa.array((sent.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1))
+
+    return all_sets.select("uid", "all", place().alias("p")).mapInArrow(run, "uid long, all binary")
+
+
+def verified(pairs: DataFrame, fps: DataFrame, all_sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as UP / DOWN."""
+    pairs = common.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    used = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    rows = fps.select("fp", "uid").join(used.hint("merge"), "fp", "left_semi")
+    own = common.written(_marked(all_sets.select("uid", "all"), rows).join(rows.hint("merge"), "uid").select("fp", "all"), "compared")
+    both = pairs.join(own.select(F.col("fp").alias("a"), F.col("all").alias("x")).hint("merge"), "a").join(own.select(F.col("fp").alias("b"), F.col("all").alias("y")).hint("merge"), "b")
+    ddl = "a long, b long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(DOWN * same >= UP * (len(x) + len(y) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return common.written(both.select("a", "b", "x", "y").mapInArrow(run, ddl), "verified")
+
+
+def links(fps: DataFrame, all_sets: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
+    """a, b: verified links between distinct sets that connect all as similar as UP / DOWN. First the NEAR next ones of
+    each bucket of a prefix shingle are compared; then all pairs of a bucket whose components still differ. Buckets of
+    over `block` sets are cut into blocks by a hash and every pair of blocks is one task's bucket."""
+    first = all_sets.select("uid", "n", "prefix").join(fps.select("uid", "fp").hint("merge"), "uid")
+    rows = first.select("fp", "n", F.posexplode("prefix").alias("at", "key")).select("key", "fp", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
+    ddl = "key long, fp long, n long, at long"
+
+    def shared(bucket: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        many = (np.bincount(bucket) > 1)[bucket]
+        if many.any():
+            yield _batch(ddl, *(c[many] for c in cols))
+
+    held = common.written(_streamed(rows, ["key"], ["fp"], ddl, shared), "shared")
+    out = "a long, b long"
+
+    def next_ones(bucket: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, fp, n, at = cols
+        for d in range(1, NEAR + 1):
+            good = (bucket[d:] == bucket[:-d]) & _fits(n[d:], n[:-d], at[d:], at[:-d])
+            if good.any():
+                yield _batch(out, fp[:-d][good], fp[d:][good])
+
+    near = verified(_streamed(held, ["key"], ["fp"], out, next_ones), fps, all_sets)
+    roots = simhash.components(near).withColumnRenamed("node", "fp")
+    rooted = common.written(held.join(roots.hint("merge"), "fp", "left").select("key", "fp", "n", "at", F.coalesce("root", "fp").alias("root")), "rooted")
+    # a bucket of one component has nothing left to find
+    open_ = rooted.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "count")
+    rooted = common.written(rooted.join(open_.hint("merge"), "key"), "open")
+    cut = rooted.withColumn("blocks", F.ceil(F.col("count") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "n", "at", "root")
+
+    def across(bucket: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        fp, n, at, root = cols[3:]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        a, b, held = [], [], 0
+        for s, e in zip(edges[:-1], edges[1:]):
+            for k in range(s, e, 256):
+                x, y = slice(k, min(k + 256, e)), slice(k, e)
+                good = (root[x, None] != root[None, y]) & _fits(n[x, None], n[None, y], at[x, None], at[None, y])
+                i, j = np.nonzero(good)
+                i, j = i[i < j], j[i < j]
+                if len(i):
+                    a.append(fp[x][i])
+                    b.append(fp[y][j])
+                    held += len(i)
+            if held > 1 << 18:
+                yield _batch(out, np.concatenate(a), np.concatenate(b))
+                a, b, held = [], [], 0
+        if held:
+            yield _batch(out, np.concatenate(a), np.concatenate(b))
+
+    rest = verified(_streamed(cut, ["key", "i", "j"], ["fp"], out, across), fps, all_sets)
+    return near.unionAll(rest)
+
+
+def resolve(docs: DataFrame, size: int = SHINGLE, block: int = simhash.BLOCK) -> DataFrame:
+    """doc_id, fp (a hash of the shingle set) and component_id of every document, as simhash.resolve() names them."""
+    all_sets = sets(docs, size)
+    fps = common.written(all_sets.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("n"), F.min("uid").alias("uid")), "distinct")
+    return simhash.named(all_sets.select("doc_id", "fp"), fps, links(fps, all_sets, block))
+
+
+def keep(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs, with all columns, of one document of each component: the one with the least id."""
+    return simhash.first_of(docs, resolve(docs, size))

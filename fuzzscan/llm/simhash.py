@@ -269,23 +269,32 @@ def resolve(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -
     component, and get null if all ids reachable are null; an empty table gives none; other columns are ignored."""
     prints = common.written(fingerprints(docs, shingle), "fingerprints")
     fps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")), "distinct")
-    total, distinct = fps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    roots = components(links(fps, distinct, distance))
+    return named(prints, fps, links(fps, fps.count(), distance))
+
+
+def named(prints: DataFrame, fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of every row of prints (doc_id, fp). fps: fp, label (its least id) and n (its rows)."""
+    total = fps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    roots = components(edges)
     joined = fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("label").alias("component_id"))
-    named = common.written(joined.join(least, "root").select("fp", "component_id", "n"), "named")
-    hot = named.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("fp", "component_id", F.lit(True).alias("hot"))
+    names = common.written(joined.join(least, "root").select("fp", "component_id", "n"), "named")
+    hot = names.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("fp", "component_id", F.lit(True).alias("hot"))
     split = prints.join(F.broadcast(hot), "fp", "left")  # HOT_SHARE rows at most
     return (
         split.where("hot").select("doc_id", "fp", "component_id")
-        .unionAll(split.where("hot is null").select("doc_id", "fp").join(named.select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id"))
+        .unionAll(split.where("hot is null").select("doc_id", "fp").join(names.select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id"))
     )
 
 
 def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, with all columns, of one document of each component: the one with the least id. Rows without an
     id cannot be named by a component and stay; of rows that share the least id one stays."""
-    one = resolve(docs, distance, shingle)
+    return first_of(docs, resolve(docs, distance, shingle))
+
+
+def first_of(docs: DataFrame, one: DataFrame) -> DataFrame:
+    """The rows of docs that keep() leaves, by the components of one (doc_id, component_id)."""
     named = common.written(one.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")), "survivors")
     unique = named.groupBy("__kept").count().where("count > 1").limit(1).count() == 0
     # a merge join: a column of ids can be far smaller in its file, by which Spark would judge it, than in memory

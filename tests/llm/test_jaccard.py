@@ -1,0 +1,60 @@
+"""Near-duplicates by shingle similarity against brute-force Jaccard."""
+
+import random
+
+from fuzzscan.llm import jaccard, simhash
+
+from .test_operators import SCHEMA
+
+
+def brute(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def texts(rng):
+    """Groups of texts with more and more words replaced, a passage that many hold, and copies."""
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    out = []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 30, 120, 300]))] + (passage if g % 2 else [])
+        for edits in range(rng.choice([2, 4, 9])):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            out.append(" ".join(own))
+    for _ in range(60):  # a group of near copies
+        own = list(passage)
+        own[rng.randrange(60)] = rng.choice(words)
+        out.append(" ".join(own))
+    return out + out[:5] + [None, "", " ", out[7].upper()]
+
+
+def test_resolve(spark):
+    made = texts(random.Random(3))
+    own = [brute(t) for t in made]
+    parent = list(range(len(made)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(made)):
+        for j in range(i):
+            if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(made)], SCHEMA).repartition(3)
+    prints = [simhash.fingerprint(t, 5) for t in made]
+    assert any((prints[i] ^ prints[j]).bit_count() > 7 for i in range(len(made)) for j in range(i) if root(i) == root(j))
+    got = {r.doc_id: r.component_id for r in jaccard.resolve(docs, block=8).collect()}
+    assert got == {i: root(i) for i in range(len(made))}
+    few = docs.where("doc_id < 60")
+    assert len(jaccard.keep(few).collect()) == len({root(i) for i in range(60)})
+
+
+def test_empty(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert jaccard.resolve(docs).count() == 0 and jaccard.keep(docs).count() == 0
