@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fuzzscan.llm import bpe, common, jaccard, langid, mixing, quality
+from fuzzscan.llm import bpe, common, langid, mixing, near, quality
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id: links join texts whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more."""
-    return jaccard.keep(docs)
+    """One document of each group of near-duplicates, the one with the least id: SimHash candidates, verified to have sets
+    of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return near.keep(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

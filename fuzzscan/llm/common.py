@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
@@ -12,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, for the JVM's regular expressions.
@@ -28,14 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, as in tests, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, as in tests, a temporary one, but only if
+    driver and executors are one process: elsewhere each executor would write to a folder of its own."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
-        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fuzzscan-"))
         at = context.getCheckpointDir()
-        if not at:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="fuzzscan-"))
-            at = context.getCheckpointDir()
     return at
 
 
@@ -58,30 +61,29 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, order: list, total: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Adds `position`, the gapless 0-based rank of each row in the order, or with `total` `before`, the sum of that
-    column over all rows before it. Range partitions are numbered on their own and shifted by the sums of the
-    partitions before them, so no task sees more than one range. df should be a written table: it is read three times.
-    Rows equal in the whole order get consecutive ranks in any order."""
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    placed = written(placed, "ranged")
-    weight = F.col(total) if total else F.lit(1)
-    # one row for each range partition: bounded by their number
-    sums = {r[0]: r[1] for r in placed.groupBy("__part").agg(F.sum(weight).alias("s")).collect()}
-    offset, pairs = 0, []
+def prefixed(df: DataFrame, order: list, totals: dict[str, str | Column]) -> DataFrame:
+    """Adds, by name, the sum of each of `totals` over all rows before a row in the order. Range partitions are summed on
+    their own and shifted by the sums of the partitions before them, so no task sees more than one range; the driver gets
+    one row for each range. Rows equal in the whole order follow each other in any order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    weights = {n: F.col(c) if isinstance(c, str) else c for n, c in totals.items()}
+    sums = {r["__part"]: r for r in placed.groupBy("__part").agg(*[F.sum(c).alias(n) for n, c in weights.items()]).collect()}
+    kinds = dict(placed.select(*[c.alias(n) for n, c in weights.items()]).dtypes)
+    kinds = {n: "double" if k in ("double", "float") else "long" for n, k in kinds.items()}
+    held, rows = {n: 0.0 if kinds[n] == "double" else 0 for n in weights}, []
     for k in sorted(sums):
-        pairs.append((k, offset))
-        offset += sums[k] or 0
-    starts = df.sparkSession.createDataFrame(pairs, "__part int, __start long")
+        rows.append((k, *held.values()))
+        held = {n: x + (sums[k][n] or 0) for n, x in held.items()}
+    starts = df.sparkSession.createDataFrame(rows, ", ".join(["__part int", *(f"`__start_{n}` {kinds[n]}" for n in weights)]))
     window = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(weight).over(window), F.lit(0)).cast("long")
-    name = "before" if total else "position"
-    return (
-        placed.join(F.broadcast(starts), "__part")
-        .withColumn(name, F.col("__start") + before)
-        .drop("__part", "__start")
-    )
+    added = {n: F.col(f"__start_{n}") + F.coalesce(F.sum(c).over(window), F.lit(0)).cast(kinds[n]) for n, c in weights.items()}
+    return placed.join(F.broadcast(starts), "__part").withColumns(added).drop("__part", *(f"__start_{n}" for n in weights))
+
+
+def ranked(df: DataFrame, order: list) -> DataFrame:
+    """Adds `position`, the gapless 0-based rank of each row in the order."""
+    return prefixed(df, order, {"position": F.lit(1)})
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -98,10 +100,39 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
             yield batch.slice(a, b - a)
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at the end of the task what Arrow and the C library hold for reuse goes back to the system, since Python
+    workers outlive their tasks and share an executor's memory."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of the distinct words (A-Z lowered) as signed longs, the number of each word's in the order of the texts,
+    and how many words each text has. Arrow splits and numbers them."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    table = split.flatten().dictionary_encode()
+    keys, codes = table.dictionary.to_pylist(), table.indices.to_numpy()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(w) for w in keys], np.uint64).view(np.int64)
+    if "" in keys:  # white space at either end of a text leaves an empty string
+        real = codes != keys.index("")
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n))
+        codes = codes[real]
+    return hashes, codes, n
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """pyarrow schema of a list like 'doc_id long, text string'."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}

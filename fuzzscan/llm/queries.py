@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, quality
 from .bpe import op2_bpe
 from .html import op5_html
 from .langid import op6_langid
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": quality.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op3_quality": quality.ORACLE}

@@ -67,25 +67,58 @@ class Plan:
     allowed: tuple[int, ...]
 
 
+def bits_of(sample: np.ndarray, words: int = 1) -> np.ndarray:
+    """Rows of 0 and 1, lowest bit first, of fingerprints (rows x words)."""
+    return np.unpackbits(np.ascontiguousarray(sample.reshape(-1, words)).astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.float64).reshape(len(sample), 64 * words)
+
+
 def grouped_bits(bits: np.ndarray, m: int) -> list[tuple[int, ...]]:
-    """m partitions of 64 bits. Each starts with the free bit most correlated with the other free bits and takes those
+    """m partitions of all bits. Each starts with the free bit most correlated with the other free bits and takes those
     most correlated with its members, so that dependence is spent inside partitions and the rest stay selective."""
+    total = bits.shape[1]
+    widths = [total * (i + 1) // m - total * i // m for i in range(m)]
+    if len(bits) < 2:
+        return [tuple(range(total * i // m, total * (i + 1) // m)) for i in range(m)]
     x = bits - bits.mean(0)
     scale = np.sqrt((x * x).sum(0))
     link = np.abs(x.T @ x) / np.maximum(np.outer(scale, scale), 1e-9)
     np.fill_diagonal(link, 0)
-    free, parts = list(range(64)), []
-    for i in range(m):
-        width = (64 * (i + 1)) // m - (64 * i) // m
-        part = [max(free, key=lambda b: link[b, free].sum())]
-        free.remove(part[0])
+    free, parts = np.ones(total, bool), []
+    for width in widths:
+        score, part = link[:, free].sum(1), []
         while len(part) < width:
-            part.append(max(free, key=lambda b: link[b, part].sum()))
-            free.remove(part[-1])
+            best = int(np.where(free, score, -1).argmax())
+            part.append(best)
+            free[best] = False
+            score = link[:, part].sum(1)
         parts.append(tuple(sorted(part)))
     return parts
 
 
+def costs(sample: np.ndarray, parts: list[tuple[int, ...]], n: int, most: int = 2) -> list[list[float]]:
+    """For each partition the cost of leaving it out and of thresholds 0..most, in probes of n fingerprints (a row each)
+    and candidates (a comparison each). Both sides are probed, so a threshold t brings together what differs in up to 2t
+    bits of the partition: as often as pairs of the sample do, scaled to n, but no more rarely than random bits."""
+    sample = sample if sample.ndim > 1 else sample[:, None]
+    pairs, out = max(1, len(sample) * (len(sample) - 1) // 2), []
+    for part in parts:
+        mask = np.zeros(sample.shape[1], np.uint64)
+        for b in part:
+            mask[b >> 6] |= np.uint64(1 << (b & 63))
+        at = np.flatnonzero(mask)
+        near, held = np.zeros(2 * most + 2), sample[:, at] & mask[at]
+        for i in range(len(sample) - 1):
+            d = np.bitwise_count(held[i + 1 :] ^ held[i]).sum(1, dtype=np.int64)
+            near += np.bincount(np.minimum(d, 2 * most + 1), minlength=2 * most + 2)
+        row = [0.0]
+        for t in range(most + 1):
+            balls = [sum(comb(len(part), j) for j in range(r + 1)) for r in (t, 2 * t)]
+            chance = max(near[: 2 * t + 1].sum() / pairs, balls[1] / 2.0 ** len(part))
+            row.append(n * balls[0] * 4.0 + chance * n * n / 2 * 0.01)
+        out.append(row)
+    return out
+
+
 def allocate(cost: list[list[float]], total: int) -> tuple[float, tuple[int, ...]]:
     """Thresholds t >= -1 whose sum of (t + 1) is total and whose costs add up to least; cost[i][t + 1]."""
     best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
@@ -100,26 +133,12 @@ def allocate(cost: list[list[float]], total: int) -> tuple[float, tuple[int, ...
 
 
 def choose(sample: np.ndarray, n: int, distance: int = DISTANCE) -> Plan:
-    """If two fingerprints differ in at most `distance` bits, then with thresholds that sum to distance - m + 1 they
-    differ in at most t bits of some partition. Candidates of (partition, t) are those of the sample's pairs, scaled
-    to n fingerprints, but no fewer than random bits would give; a probe is a row, a candidate a comparison."""
-    bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].astype(np.float64)
-    pairs, best = max(1, len(sample) * (len(sample) - 1) // 2), None
+    """The cheapest plan for n fingerprints. If two differ in at most `distance` bits, then with thresholds t whose t + 1
+    add up to distance + 1 they differ in at most t bits of some partition."""
+    bits, best = bits_of(sample), None
     for m in range(2, distance + 4):
-        parts, costs = grouped_bits(bits, m) if len(sample) > 1 else [tuple(range(64 * i // m, 64 * (i + 1) // m)) for i in range(m)], []
-        for part in parts:
-            mask = np.uint64(sum(1 << b for b in part))
-            near = np.zeros(distance + 1)
-            for i in range(len(sample) - 1):
-                d = np.bitwise_count((sample[i + 1 :] ^ sample[i]) & mask)
-                near += np.bincount(np.minimum(d, distance + 1), minlength=distance + 2)[: distance + 1]
-            row = [0.0]
-            for t in range(min(distance, 2) + 1):
-                chance = max(near[: t + 1].sum() / pairs, sum(comb(len(part), j) for j in range(t + 1)) / 2.0 ** len(part))
-                probes = n * sum(comb(len(part), j) for j in range(t + 1))
-                row.append(probes * 4.0 + chance * n * n / 2 * 0.01)
-            costs.append(row)
-        found = (*allocate(costs, distance + 1), parts)
+        parts = grouped_bits(bits, m)
+        found = (*allocate(costs(sample, parts, n, min(distance, 2)), distance + 1), parts)
         if best is None or found[0] < best[0]:
             best = found
     return Plan(tuple(best[2]), best[1])
@@ -145,97 +164,123 @@ def probes(fps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def forest(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of these distinct fingerprints: a search in which each one found leaves the pool,
-    so a tight group costs one comparison with each member and no pair is emitted twice."""
-    left, a, b = values, [], []
+    """Links (numbers of rows) that span the components of these fingerprints (rows x words): a search in which each one
+    found leaves the pool, so a tight group costs one comparison with each member and no pair is emitted twice."""
+    left, a, b = np.arange(len(values)), [], []
     while len(left):
         stack, left = [left[0]], left[1:]
         while stack and len(left):
             x = stack.pop()
-            near = np.bitwise_count(left ^ x) <= distance
+            near = np.bitwise_count(values[left] ^ values[x]).sum(1, dtype=np.int64) <= distance
             if near.any():
                 found = left[near]
                 a.append(np.full(len(found), x))
                 b.append(found)
-                stack.extend(found)
+                stack.extend(found.tolist())
                 left = left[~near]
-    none = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
 def bucket_links(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one bucket of distinct fingerprints: all of them where they are few, else those of a forest."""
+    """Links of one bucket of fingerprints: all of them where they are few, else those of a forest."""
     a, b, found = [], [], 0
     for at in range(0, len(values), 256):
-        i, j = np.nonzero(np.bitwise_count(values[at : at + 256, None] ^ values[None, at:]) <= distance)
+        i, j = np.nonzero(np.bitwise_count(values[at : at + 256, None] ^ values[None, at:]).sum(2, dtype=np.int16) <= distance)
         i, j = i[i < j], j[i < j]
         found += len(i)
-        if found > 4 * len(values):
+        if found > len(values):
             return forest(values, distance)
-        a.append(values[at + i])
-        b.append(values[at + j])
+        a.append(at + i)
+        b.append(at + j)
     return np.concatenate(a), np.concatenate(b)
 
 
-def _links(rows: DataFrame, key: list[str], distance: int = DISTANCE) -> DataFrame:
-    """a, b: links that connect what is connected inside each bucket (equal key columns), verified. rows must hold a
-    bounded number of fingerprints a bucket. Buckets are streamed in order: memory holds a batch and one bucket."""
+def tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links that join what earlier ones have not joined."""
+    up: dict[int, int] = {}
+    keep = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        while (p := up.get(x, x)) != x:
+            up[x] = x = up.get(p, p)
+        while (p := up.get(y, y)) != y:
+            up[y] = y = up.get(p, p)
+        keep.append(x != y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    keep = np.array(keep, bool)
+    return a[keep], b[keep]
+
+
+def _links(rows: DataFrame, key: list[str], words: list[str], distance: int = DISTANCE) -> DataFrame:
+    """a, b: links that connect what is connected inside each bucket (equal key columns), verified by the fingerprints in
+    the columns `words`. rows must hold a bounded number of fingerprints a bucket. Buckets are streamed in order: memory
+    holds a batch and one bucket."""
     ddl = "a long, b long"
 
+    def compared(bucket: np.ndarray, fp: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        """Buckets of a few by shifts of the whole array, the others one by one."""
+        edges = np.flatnonzero(np.diff(bucket)) + 1
+        sizes = np.diff(np.concatenate([[0], edges, [len(bucket)]]))
+        few = np.flatnonzero(np.repeat(sizes <= 16, sizes))
+        out_a, out_b, w, g = [], [], v[few], bucket[few]
+        for d in range(1, 16):
+            same = np.flatnonzero(g[d:] == g[:-d])
+            near = same[np.bitwise_count(w[same + d] ^ w[same]).sum(1, dtype=np.int64) <= distance]
+            out_a.append(few[near])
+            out_b.append(few[near + d])
+        at = np.cumsum(sizes) - sizes
+        for s, n in zip(at[sizes > 16], sizes[sizes > 16]):
+            own = s + np.unique(fp[s : s + n], return_index=True)[1]
+            x, y = bucket_links(v[own], distance)
+            out_a.append(own[x])
+            out_b.append(own[y])
+        a, b = fp[np.concatenate(out_a)], fp[np.concatenate(out_b)]
+        a, b = tree(a[a != b], b[a != b])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=common.arrow_schema(ddl))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            """Buckets of a few by shifts of the whole array, the others one by one."""
-            edges = np.flatnonzero(np.diff(bucket)) + 1
-            sizes = np.diff(np.concatenate([[0], edges, [len(bucket)]]))
-            few = np.repeat(sizes <= 16, sizes)
-            out_a, out_b, v, g = [], [], fp[few], bucket[few]
-            for d in range(1, 16):
-                near = (g[d:] == g[:-d]) & (np.bitwise_count(v[d:] ^ v[:-d]) <= distance)
-                out_a.append(v[:-d][near])
-                out_b.append(v[d:][near])
-            at = np.cumsum(sizes) - sizes
-            for s, n in zip(at[sizes > 16], sizes[sizes > 16]):
-                x, y = bucket_links(np.unique(fp[s : s + n]), distance)
-                out_a.append(x)
-                out_b.append(y)
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            own = a != b
-            return pa.RecordBatch.from_arrays([pa.array(a[own].view(np.int64)), pa.array(b[own].view(np.int64))], schema=common.arrow_schema(ddl))
-
-        rest_k, rest_v = np.zeros((0, len(key)), np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            k = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:-1]], 1)
-            k, v = np.concatenate([rest_k, k]), np.concatenate([rest_v, batch.columns[-1].to_numpy().view(np.uint64)])
-            bucket = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]).any(1))]) if len(k) else np.zeros(0, np.int64)
-            last = np.searchsorted(bucket, bucket[-1]) if len(k) else 0
+        rest = None
+        for batch in common.freed(batches):
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
+            if not len(cols[0]):
+                continue
+            new = np.any([c[1:] != c[:-1] for c in cols[: len(key)]], 0)
+            bucket = np.concatenate([[0], np.cumsum(new)])
+            last = np.searchsorted(bucket, bucket[-1])
             if last:
-                yield compared(bucket[:last], v[:last])
-            rest_k, rest_v = k[last:], v[last:]
-        if len(rest_v) > 1:
-            yield compared(np.zeros(len(rest_v), np.int64), rest_v)
+                yield compared(bucket[:last], cols[len(key)][:last], np.stack([c[:last] for c in cols[-len(words) :]], 1).view(np.uint64))
+            rest = [c[last:] for c in cols]
+        if rest is not None and len(rest[0]) > 1:
+            yield compared(np.zeros(len(rest[0]), np.int64), rest[len(key)], np.stack(rest[-len(words) :], 1).view(np.uint64))
 
-    return rows.repartition(*key).sortWithinPartitions(*key).select(*key, "fp").mapInArrow(run, ddl)
+    return rows.select(*key, *dict.fromkeys(["fp", *words])).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, ddl)
 
 
-def links(fps: DataFrame, n: int, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """a, b: links between distinct fingerprints that connect all within `distance`. fps: a written table of n distinct
-    fp. Buckets of over `block` fingerprints are cut into blocks by a hash and every pair of blocks is one task's
-    bucket, so no candidate is left out and no task holds more than about twice a block."""
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = fps.where(F.pmod(F.xxhash64(F.lit("plan"), "fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    plan = choose(np.sort(sample), n, distance)
-    rows = probes(fps, plan)
-    large = common.written(rows.groupBy("part", "key").count().where(F.col("count") > block), "large")
+def matched(rows: DataFrame, key: list[str], words: list[str], distance: int, block: int = BLOCK) -> DataFrame:
+    """a, b: links inside the buckets of probe rows (key columns, fp, words). Buckets of over `block` rows are cut into
+    blocks by a hash and every pair of blocks is one task's bucket, so no candidate is left out and no task holds more
+    than about twice a block."""
+    large = common.written(rows.groupBy(*key).count().where(F.col("count") > block), "large")
     n_large = large.count()
     if not n_large:
-        return _links(rows, ["part", "key"], distance)
-    side = F.broadcast(large) if n_large <= 100_000 else large  # 100,000 rows of 20 bytes
-    small = rows.join(side, ["part", "key"], "left_anti")
-    cut = rows.join(side, ["part", "key"]).withColumn("blocks", F.ceil(F.col("count") / F.lit(block)).cast("int"))
+        return _links(rows, key, words, distance)
+    side = F.broadcast(large) if n_large <= 100_000 else large.hint("merge")  # 100,000 rows of 24 bytes
+    small = rows.join(side, key, "left_anti")
+    cut = rows.join(side, key).withColumn("blocks", F.ceil(F.col("count") / F.lit(block)).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return _links(small, ["part", "key"], distance).unionAll(_links(cut, ["part", "key", "i", "j"], distance))
+    cut = cut.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return _links(small, key, words, distance).unionAll(_links(cut, [*key, "i", "j"], words, distance))
+
+
+def links(fps: DataFrame, n: int, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """a, b: links between distinct fingerprints that connect all within `distance`. fps: a written table of n distinct
+    fp."""
+    share = min(1.0, SAMPLE / max(1, n))
+    sample = fps.where(F.pmod(F.xxhash64(F.lit("plan"), "fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    return matched(probes(fps, choose(np.sort(sample), n, distance)), ["part", "key"], ["fp"], distance, block)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -265,43 +310,30 @@ def resolve(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -
     """doc_id, fp, component_id of every document.
 
     Copies meet as one fingerprint with its least id (summed before the shuffle), and links join distinct fingerprints
-    only. Null and empty texts have fingerprint 0. Repeated rows each get a row; null ids are kept, never name a
-    component, and get null if all ids reachable are null; an empty table gives none; other columns are ignored."""
+    only. Null and empty texts have fingerprint 0; a bit set in just half of the hashes is 0; a very long text is hashed in
+    parts. Repeated rows each get a row; null ids are kept, never name a component, and get null if all ids reachable are
+    null; an empty table gives none; other columns are ignored."""
     prints = common.written(fingerprints(docs, shingle), "fingerprints")
     fps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")), "distinct")
     return named(prints, fps, links(fps, fps.count(), distance))
 
 
+def by_print(prints: DataFrame, names: DataFrame) -> DataFrame:
+    """prints (fp, ...) with the columns of names (fp, n, ...): a row for each distinct fp, n its rows. Fingerprints that
+    very many rows share are joined by broadcast, so that none is a hot key."""
+    total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(names.where(is_hot).drop("n"))  # HOT_SHARE rows at most
+    return prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(names.where(~is_hot).drop("n").hint("merge"), "fp"))
+
+
 def named(prints: DataFrame, fps: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row of prints (doc_id, fp). fps: fp, label (its least id) and n (its rows)."""
-    total = fps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = components(edges)
-    joined = fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = common.written(fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = joined.groupBy("root").agg(F.min("label").alias("component_id"))
     names = common.written(joined.join(least, "root").select("fp", "component_id", "n"), "named")
-    hot = names.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("fp", "component_id", F.lit(True).alias("hot"))
-    split = prints.join(F.broadcast(hot), "fp", "left")  # HOT_SHARE rows at most
-    return (
-        split.where("hot").select("doc_id", "fp", "component_id")
-        .unionAll(split.where("hot is null").select("doc_id", "fp").join(names.select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id"))
-    )
-
-
-def keep(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with all columns, of one document of each component: the one with the least id. Rows without an
-    id cannot be named by a component and stay; of rows that share the least id one stays."""
-    return first_of(docs, resolve(docs, distance, shingle))
-
-
-def first_of(docs: DataFrame, one: DataFrame) -> DataFrame:
-    """The rows of docs that keep() leaves, by the components of one (doc_id, component_id)."""
-    named = common.written(one.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")), "survivors")
-    unique = named.groupBy("__kept").count().where("count > 1").limit(1).count() == 0
-    # a merge join: a column of ids can be far smaller in its file, by which Spark would judge it, than in memory
-    kept = docs.join(named.hint("merge"), docs["doc_id"] == F.col("__kept"), "left_semi")
-    if not unique:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where("doc_id is null"))
+    return by_print(prints, names).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,32 +84,61 @@ def brute_mix(rows, seed_hash):
     return sizes, target
 
 
-def test_mixing(docs, rows, empty):
+def brute_taken(rows, seed=17):
+    """Rows in order of hash, each whole while the budget lasts, then what is left of it."""
+    sizes, target = brute_mix(rows, None)
+    left, out = {}, []
+    for s in sizes:
+        copies = int(target[s] // sizes[s]) if sizes[s] else 0
+        left[s] = (copies, int(target[s] - copies * sizes[s]))
+    key = lambda r: int(hashlib.md5((f"{seed}t{r[1] or ''}" if r[0] is None else f"{seed}:{r[0]}").encode()).hexdigest()[:15], 16)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[3], key(r)].append(r)
+    need = {s: n for s, (_, n) in left.items()}
+    for (s, _), same in sorted(groups.items(), key=lambda x: x[0][1]):
+        total = sum(len(words(r[1])) for r in same)
+        give = min(total, need[s])
+        need[s] -= give
+        out += [(str(r[0]), left[s][0] * len(words(r[1])) + (len(words(r[1])) * give // total if total else 0)) for r in same]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("few", [mixing.MOST_SOURCES, 0])
+def test_mixing(docs, rows, empty, few, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", few)
     got = mixing.mix(docs).collect()
     sizes, target = brute_mix(rows, None)
     assert len(got) == len(rows)
-    taken, largest = collections.Counter(), collections.Counter()
+    taken = collections.Counter()
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source])
-        assert 0 <= r.taken <= 3 * r.size and r.taken == r.passes * r.size
+        assert 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
     for s in sizes:
-        # what is left would not have fitted: every document with one pass more would be above the target
-        left = target[s] - taken[s]
-        assert left >= -1e-6
-        base = int(target[s] / sizes[s] + 1e-12) if sizes[s] else 0
-        out = [r.size for r in got if r.source == s and r.size and r.passes == base]
-        assert left < max(1, 0.0005 * target[s]) or not out or left <= max(out)
-    same(mixing.mix(docs), mixing.mix(docs.repartition(7)))
-    same(mixing.mix(docs), mixing.mix(clashing(docs)))
-    assert mixing.mix(empty).count() == 0
-    times = collections.Counter()
-    for r in got:
-        times[r.doc_id] += r.passes
+        assert -1e-6 <= target[s] - taken[s] < 2  # two rows share an id
+    assert sorted((str(r.doc_id), r.taken) for r in got) == brute_taken(rows)
+    same(mixing.mix(docs), mixing.mix(clashing(docs.repartition(7))))
+    assert mixing.mix(empty).count() == 0 and mixing.apply(empty).count() == 0
     applied = mixing.apply(clashing(docs))
     assert applied.columns == clashing(docs).columns
-    made = collections.Counter(r.doc_id for r in applied.select("doc_id").collect())
-    assert {k: v for k, v in times.items() if v} == dict(made)
+    made = collections.Counter(str(r.doc_id) for r in applied.select("doc_id").collect())
+    held = collections.Counter(str(r[0]) for r in rows)
+    for r in got:
+        if held[str(r.doc_id)] == 1:
+            assert made[str(r.doc_id)] - r.passes in (0, 1) and (made[str(r.doc_id)] == r.passes or 2 * (r.taken - r.passes * r.size) >= r.size)
+
+
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_mixing_coarse(spark, n):
+    """Sources of one or a few documents, heavy-tailed: the budget is met all the same."""
+    rng = random.Random(n)
+    made = [(i * 10 + s, "w " * (1000 if n == 1 else int(10 * rng.paretovariate(0.7)) % 9000 + 1), None, f"s{s}", 0) for i in range(n) for s in range(5)]
+    sizes, target = brute_mix(made, None)
+    taken = collections.Counter()
+    for r in mixing.mix(spark.createDataFrame(made, SCHEMA)).collect():
+        taken[r.source] += r.taken
+    assert all(0 <= target[s] - taken[s] < 1 for s in sizes)
 
 
 def test_mixing_targets(spark):
@@ -363,9 +392,6 @@ def test_simhash(docs, rows, empty):
     want = sorted((str(i), p, least.get(r)) for (i, *_), p, r in zip(rows, prints, roots))
     assert sorted((str(r.doc_id), r.fp & (2**64 - 1), r.component_id) for r in got) == want
     assert simhash.resolve(empty).count() == 0
-    kept = simhash.keep(clashing(docs))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(x) for x in set(least.values())] + ["None"])
-    assert kept.columns == clashing(docs).columns and simhash.keep(empty).count() == 0
 
 
 @pytest.mark.parametrize("block,distance", [(4096, 3), (8, 3), (8, 7)])
