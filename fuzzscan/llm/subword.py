@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 from . import common
 
-#: A worker remembers the ids of so many words and of as many older ones.
+#: A worker remembers the ids of so many words (about 250 bytes each) and of as many older ones.
 MEMO = 250_000
 #: Words that the library gets as one text (it is quickest on texts of about 2 KB), and characters of a text that are
 #: split at once.
@@ -29,10 +29,11 @@ WHOLE = 0
 class WordEncoder:
     """Encodes by words. A byte-level pre-tokenizer never crosses a space that stands between two characters which are no
     white space, so a text is split there; each distinct word, with its space, is looked up or learned, and texts with
-    other spaces are encoded whole. Results equal those of encoding whole texts. Subclasses say how to encode."""
+    other spaces are encoded whole. So are texts that hold an added token of the vocabulary, which may cross spaces. Results
+    equal those of encoding whole texts. Subclasses say how to encode."""
 
-    def __init__(self, dtype: np.dtype):
-        self.dtype = dtype
+    def __init__(self, dtype: np.dtype, remembered: int | None = None, added: tuple[str, ...] = ()):
+        self.dtype, self.remembered, self.added = dtype, MEMO if remembered is None else remembered, added
         self.memo: dict[str, bytes | int] = {}
         self.old: dict[str, bytes | int] = {}
 
@@ -71,17 +72,24 @@ class WordEncoder:
     def encode_arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row and the number of each text's."""
         filled = texts.fill_null("")
-        long = np.flatnonzero(pc.binary_length(filled).to_numpy(zero_copy_only=False) > 4 * SPAN)
-        if not len(long):
+        special = np.zeros(len(filled), bool)
+        for token in self.added:
+            special |= pc.match_substring(filled, token).to_numpy(zero_copy_only=False).astype(bool)
+        alone = np.flatnonzero(special | (pc.binary_length(filled).to_numpy(zero_copy_only=False) > 4 * SPAN))
+        if not len(alone):
             return self._encode(filled)
         # a very long text goes through in spans of its own
         ids, lengths, at = [], [], 0
-        for i in [*long.tolist(), len(filled)]:
+        for i in [*alone.tolist(), len(filled)]:
             made, n = self._encode(filled.slice(at, i - at))
             ids.append(made)
             lengths.append(n)
             if i < len(filled):
-                parts = [self._encode(pa.array([x], pa.string()))[0] for x in self.spans(filled[i].as_py())]
+                text = filled[i].as_py()
+                if special[i]:
+                    parts = [np.frombuffer(x, self.dtype) for x in self.whole([text])]
+                else:
+                    parts = [self._encode(pa.array([x], pa.string()))[0] for x in self.spans(text)]
                 ids += parts
                 lengths.append(np.array([sum(map(len, parts))], np.int64))
             at = i + 1
@@ -109,7 +117,7 @@ class WordEncoder:
         codes[offsets[:-1]] = len(keys) + np.arange(len(heads))
         found = list(map(self.memo.get, keys))
         new = [k for k, x in zip(keys, found) if x is None]
-        if len(self.memo) + len(new) > MEMO:  # what is found stays found
+        if len(self.memo) + len(new) > self.remembered:  # what is found stays found
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
         if old:
@@ -150,10 +158,10 @@ class Subwords(WordEncoder):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
-        super().__init__(np.dtype("<u2" if self.size <= 1 << 16 else "<u4"))
+        added = tuple(sorted(x.content for x in self.library.get_added_tokens_decoder().values()))
+        super().__init__(np.dtype("<u2" if self.size <= 1 << 16 else "<u4"), added=added)
         self.lengths = np.zeros(self.size, np.int64)
         for token, i in vocabulary.items():  # a byte of text is one character of a token
             self.lengths[i] = len(token)
