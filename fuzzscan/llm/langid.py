@@ -3,12 +3,12 @@ cosine, with rejection by distance."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ BLOCK = 512
 #: A document is rejected if its cosine is below this share of the least that sampled documents of its length or more
 #: have. Below SHORT grams, where a cosine says little, the limit falls in proportion to the length.
 MARGIN, SHORT = 0.25, 64
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Letters and bytes of longer characters stay; the rest becomes a space.
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 RESULT = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -103,7 +103,8 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learns from the non-null texts and langs of docs (text, lang, doc_id). One pass counts the document frequencies
     of all rows, one vectorises the sample; what reaches the driver is DIMS sums, a count for each language and about
-    `sample` vectors. Documents are sampled by a hash of id and text, so reruns agree."""
+    `sample` vectors, but one for each language at least (8 KB there, and up to `centroids` times 16 KB in the model that
+    every worker gets). Documents are sampled by a hash of id and text, so reruns agree."""
     known = docs.where("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,19 +118,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     for r in known.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         seen[r.slot] = r.n
     idf = (np.log((1 + seen[DIMS]) / (1 + seen[:DIMS])) + 1).astype(np.float32)
-    per_lang = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(1 << 40))
+    per_lang = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).collect()
     if not per_lang:
         return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), idf, np.zeros(1))
     share = max(1, sample // len(per_lang))
-    part = F.create_map(*[x for k, n in per_lang.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))])
-    pick = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(1 << 20)) < F.element_at(part, F.col("lang")) * (1 << 20)
+    # the row with the least hash is taken whatever the share, so no language is lost
+    limits = docs.sparkSession.createDataFrame([(r.lang, max(int(min(1.0, share / r.n) * (1 << 40)), r.least + 1)) for r in per_lang], "lang string, __limit long")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             x = counts(texts)
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(x.sum(1).astype(np.int64)), pa.array([v.tobytes() for v in np.log1p(x).astype(np.float16)], pa.binary())], schema=common.arrow_schema("lang string, n long, v binary"))
 
-    rows = sorted(known.where(pick).select("text", "lang").mapInArrow(vectors, "lang string, n long, v binary").collect(), key=lambda r: (r.lang, bytes(r.v)))
+    rows = sorted(known.join(F.broadcast(limits), "lang").where(place < F.col("__limit")).select("text", "lang").mapInArrow(vectors, "lang string, n long, v binary").collect(), key=lambda r: (r.lang, bytes(r.v)))
     x = np.array([np.frombuffer(r.v, np.float16) for r in rows]).astype(np.float32) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
     names = np.array([r.lang for r in rows])
