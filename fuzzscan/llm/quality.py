@@ -7,6 +7,7 @@ import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,29 +27,48 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 class Features:
-    """What rules look at: parts shared by all are made once."""
+    """What rules look at. Each part is made when a rule first asks for it, and then shared."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
         self.raw = self.text.encode()
-        self.words = self.raw.split()
-        self.n_words = len(self.words)
-        solid = len(self.raw.translate(None, common.SPACE))
-        self.word_chars = len(self.text) - (len(self.raw) - solid)
-        self.n_symbols = len(self.raw) - len(self.raw.translate(None, SYMBOLS))
-        lines = [x for x in self.raw.split(b"\n") if x.strip(common.SPACE)]
-        self.n_lines = len(lines)
-        self.n_dup_lines = len(lines) - len(set(lines))
-        self.n_repeat_words = repeated_words(self.words)
-        self._strings: list[str] | None = None
-        self.base_failed = self.n_words < 10 or 100 * self.n_repeat_words > 20 * self.n_words
 
-    @property
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.raw.split()
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - (len(self.raw) - len(self.raw.translate(None, common.SPACE)))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.raw) - len(self.raw.translate(None, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [x for x in self.raw.split(b"\n") if x.strip(common.SPACE)]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words(self.words)
+
+    @cached_property
     def strings(self) -> list[str]:
         """The words as strings, for the rules that look at letters."""
-        if self._strings is None:
-            self._strings = b"\n".join(self.words).decode().split("\n") if self.words else []
-        return self._strings
+        return b"\n".join(self.words).decode().split("\n") if self.words else []
+
+    @property
+    def base_failed(self) -> bool:
+        return any(rule.fails(self) for rule in BASE)
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
@@ -99,10 +119,15 @@ def _shouting(f: Features) -> bool:
     return 2 * loud > f.n_words
 
 
+BASE = (
+    Rule("few_words", lambda f: f.n_words < 10),
+    Rule("repeats", lambda f: 100 * f.n_repeat_words > 20 * f.n_words),
+)
 RULES = (
+    *BASE,
     Rule("symbols", lambda f: 10 * f.n_symbols > f.n_words),
     Rule("word_length", lambda f: not 2 * f.n_words <= f.word_chars <= 20 * f.n_words),
-    Rule("duplicate_lines", lambda f: 10 * f.n_dup_lines > 3 * f.n_lines),
+    Rule("duplicate_lines", lambda f: 10 * f.n_dup_lines > 3 * len(f.lines)),
     Rule("exclamations", lambda f: 10 * f.raw.count(b"!") > 3 * f.n_words),
     Rule("few_letters", _letters),
     Rule("shouting", _shouting),
@@ -110,46 +135,58 @@ RULES = (
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejections per second on the first `sample` texts of up to a million bytes that Spark returns, best
-    first; rules that reject nothing come last, cheapest first. Spark reads partitions until it has so many. The sample
-    sets the order alone: the verdict of a cascade of independent rules is the same in any order."""
+    """The rules by rejections per second on the first `sample` texts that Spark returns, best first; rules that reject
+    nothing come last, cheapest first. A rule's cost is that of all it asks for, on a text of which nothing is known yet.
+    The sample is measured by one task, of which the driver gets a row for each rule; it sets the order alone: the verdict
+    of a cascade of independent rules is the same in any order."""
+    ddl = "rule int, cost double, hits long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost, hits = [1e-9] * len(rules), [0] * len(rules)
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                for text in common.texts(part):
+                    for i, rule in enumerate(rules):
+                        began, f = time.perf_counter(), Features(text)
+                        hits[i] += bool(rule.fails(f))
+                        cost[i] += time.perf_counter() - began
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(cost), pa.array(hits, pa.int64())], schema=common.arrow_schema(ddl))
+
     cost, hits = [1e-9] * len(rules), [0] * len(rules)
-    for r in docs.where("octet_length(text) <= 1000000").select("text").limit(sample).collect():
-        f = Features(r.text)
-        for i, rule in enumerate(rules):
-            began = time.perf_counter()
-            hits[i] += bool(f.n_words and rule.fails(f))
-            cost[i] += time.perf_counter() - began
+    for r in docs.select("text").limit(sample).mapInArrow(run, ddl).collect():
+        cost[r.rule] += r.cost
+        hits[r.rule] += r.hits
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-hits[i] / cost[i], cost[i]))]
 
 
 def verdict(f: Features, order: list[Rule]) -> bool:
-    return not f.base_failed and not any(rule.fails(f) for rule in order)
+    return not any(rule.fails(f) for rule in order)
 
 
 def judge(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
     """The measures and the verdict of every document, in one pass without a shuffle.
 
-    Null and empty texts have no words and fail. Repeated rows each get a row; ids may be null; an empty table gives
-    none; other columns are ignored. Lines are equal if all their bytes are; lines without a word do not count."""
+    Null and empty texts have no words and fail. A text just at a limit passes. Very long texts are measured whole, with
+    windows found by sorting numbers instead of tuples. Repeated rows each get a row; ids may be null; an empty table
+    gives none; other columns are ignored. Lines are equal if all their bytes are; lines without a word do not count."""
     order = order or ordered_rules(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = common.arrow_schema(RESULT)
         for batch in batches:
             for part in common.slices(batch, "text"):
-                fs = [(f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, verdict(f, order), f.n_lines) for f in map(Features, common.texts(part))]
+                fs = [(f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, verdict(f, order), len(f.lines)) for f in map(Features, common.texts(part))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k.type) for c, k in zip(zip(*fs), list(schema)[1:]))], schema=schema)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, RESULT)
 
 
 def keep(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, that pass."""
+    """The rows of docs, with all their columns, that pass; a text is measured only as far as its first failing rule asks."""
     order = order or ordered_rules(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.freed(batches):
             for part in common.slices(batch, "text"):
                 yield part.filter(pa.array([verdict(Features(t), order) for t in common.texts(part)], pa.bool_()))
 
