@@ -12,13 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
 #: Header of a Netpbm picture: kind, then fields between white space and comments.
 _FIELD = re.compile(rb"(?:\s|#[^\n]*\n)*([0-9]+)")
 MEDIA = "doc_id long, n_bytes long, media binary"
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, tile_bytes long"
+TILES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, dhash string, npy binary"
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
@@ -153,8 +154,8 @@ def payload(text: str | None) -> tuple[int, bytes]:
 def to_media(docs: DataFrame, width: int = 64, kind: str = "ppm") -> DataFrame:
     """doc_id and the text stored as a picture: column `media` holds the bytes of a PPM or BMP file.
 
-    Null and empty texts give one row of spaces; repeated rows and null ids are kept, one output row for each input
-    row; an empty table gives none; columns other than doc_id and text are ignored, whatever their names."""
+    Null and empty texts give one row of spaces; a very long text is one tall picture, resized in blocks of its rows; equal
+    texts give equal pictures; repeated rows and null ids are kept, one output row for each input row; an empty table gives none; columns other than doc_id and text are ignored, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = common.arrow_schema(MEDIA)
@@ -167,40 +168,32 @@ def to_media(docs: DataFrame, width: int = 64, kind: str = "ppm") -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, MEDIA)
 
 
-def features(media: DataFrame, tile_side: int = 16) -> DataFrame:
-    """Decodes the stored pictures and describes payload, file, difference hash and NPY tile. `feature` is the
-    difference hash and the CRC-32 of the tile's file; `tiles` gives the tiles themselves."""
+def tiles(media: DataFrame, tile_side: int = 8) -> DataFrame:
+    """Decodes the stored pictures: payload, file, difference hash and the bytes of the picture's NPY tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = common.arrow_schema(FEATURES)
-        for batch in batches:
+        schema = common.arrow_schema(TILES)
+        for batch in common.freed(batches):
             for part in common.slices(batch, "media"):
                 rows = []
                 for key, n, data in zip(*(c.to_pylist() for c in part.columns)):
                     image = decode(data)
                     stored = image.tobytes()
-                    tile = npy_tile(image, tile_side)
-                    rows.append((key, n, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(image)}:{zlib.crc32(tile):08x}", image.shape[1], image.shape[0], len(tile)))
+                    rows.append((key, n, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]), len(data), hashlib.sha256(data).hexdigest(), image.shape[1], image.shape[0], difference_hash(image), npy_tile(image, tile_side)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
-
-
-def tiles(media: DataFrame, tile_side: int = 16) -> DataFrame:
-    """doc_id, difference hash and NPY bytes of every picture, to be written as a table of tiles."""
-    ddl = "doc_id long, dhash string, npy binary"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, TILES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = common.arrow_schema(ddl)
-        for batch in batches:
-            for part in common.slices(batch, "media"):
-                images = [decode(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([difference_hash(x) for x in images]), pa.array([npy_tile(x, tile_side) for x in images], pa.binary())], schema=schema)
 
-    return media.select("doc_id", "media").mapInArrow(run, ddl)
+def features(tiled: DataFrame) -> DataFrame:
+    """The rows of a table of tiles; `feature` is the difference hash and the CRC-32 of the tile's file as it was stored."""
+    crc = F.lower(F.lpad(F.hex(F.crc32("npy")), 8, "0"))
+    named = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return tiled.select(*named, F.concat_ws(":", "dhash", crc).alias("feature"), "width", "height", F.octet_length("npy").alias("tile_bytes"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text stored as a PPM file in a table of the shared folder, read back, decoded and described."""
+    """Every document's text stored as a PPM file in a table of the shared folder, read back and decoded; its NPY tile is
+    stored there too, with its difference hash, and read back."""
     stored = common.written(to_media(common.table(spark, sf_dir, "documents")), "media")
-    return features(stored)
+    return features(common.written(tiles(stored), "tiles"))
