@@ -28,17 +28,18 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 def shard(docs: DataFrame, weights: list[float], grown: list[float] | None = None, key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and grown_shard (under the weights `grown`) of every document.
 
-    size: UTF-8 bytes of the text (null: none) plus 16. slot numbers a shard's rows without gaps, in order of the key's
-    hash bucket and then key, CRC and size. It takes one shuffle of narrow rows by (shard, bucket) plus counts of at
-    most shards x 256 rows, so no task holds a shard. Repeated rows are kept, next to each other; rows that share a key
-    share a shard; null ids share one; an empty table gives no rows; other columns are ignored."""
+    size: UTF-8 bytes of the text (null: none) plus 16. slot numbers a shard's rows without gaps, in order of a hash bucket
+    of key, CRC and size and then of these three. It takes one shuffle of narrow rows by (shard, bucket) plus counts of at
+    most shards x 256 rows, so no task holds a shard, nor all rows of one key: only rows equal in key and text stay
+    together. Those are kept, next to each other, in any order; rows that share a key share a shard; null ids share one; a
+    very long text is a row like any other; an empty table gives no rows; other columns are ignored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
     ).withColumns({"shard": rendezvous(F.col("doc_id"), weights), "grown_shard": rendezvous(F.col("doc_id"), grown) if grown else F.lit(None).cast("int")})
-    rows = common.written(rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(BUCKETS)).cast("int")), "sharded")
+    rows = common.written(rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32", "size"), F.lit(BUCKETS)).cast("int")), "sharded")
     counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))  # at most shards x BUCKETS rows
     ahead = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
