@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, subword
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: A Python worker remembers the ids of so many pre-tokens and of as many older ones.
-PIECES = 300_000
+#: A Python worker remembers the ids of so many pre-tokens, of as many words, and of as many older ones of both: about 250
+#: bytes each, so some 80 MB at most.
+PIECES = 80_000
 
 
 class PerfectHash:
@@ -84,14 +85,17 @@ class Codec(subword.WordEncoder):
         self.slots = np.zeros(len(keys), np.int64)
         self.slots[self.hash.number(keys)] = [ranks[k] for k in keys]
         # by left id: right id and the id of the two together
-        self.pairs: list[dict[int, int]] = [{} for _ in self.tokens]
+        none: dict[int, int] = {}
+        self.pairs: list[dict[int, int]] = [none] * len(self.tokens)
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                    if self.pairs[a] is none:
+                        self.pairs[a] = {}
                     self.pairs[a][b] = rank
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        super().__init__(np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4"))
+        super().__init__(np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4"), PIECES)
 
     def merged(self, piece: bytes) -> list[int]:
         """Merges the pair of least rank, the leftmost of equals, until none is left: a heap of rank and place over a
@@ -179,7 +183,8 @@ def _lists(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """doc_id and ids (array of int) of every document. Null and empty texts have no ids; repeated rows each get a row;
+    """doc_id and ids (array of int) of every document. Null and empty texts have no ids; a very long text goes through in
+    spans that end where no pre-token can; of pairs of equal rank the leftmost is merged; repeated rows each get a row;
     null ids are kept; an empty table gives none; other columns are ignored."""
     ddl = "doc_id long, ids array<int>"
 
@@ -210,7 +215,7 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, schema, digest = codec(name), common.arrow_schema(ddl), hashlib.sha256
-        for batch in batches:
+        for batch in common.freed(batches):
             for part in common.slices(batch, "text"):
                 flat, lengths = use.encode_arrays(part.column(1))
                 stops = np.cumsum(lengths)
