@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import io
 import math
 import random
 import zlib
@@ -181,7 +182,7 @@ def test_bpe_odd_texts(oracle, monkeypatch):
     ids = lambda some: [np.frombuffer(x, codec.dtype).tolist() for x in codec.encode_batch(some)]
     for memo in (250_000, 10):
         monkeypatch.setattr(bpe, "PIECES", memo)
-        monkeypatch.setattr(subword, "MEMO", memo)
+        codec.remembered = memo
         assert ids(texts) == want and [ids([t])[0] for t in texts[:50]] == want[:50]
     monkeypatch.setattr(subword, "SPAN", 4)
     assert ids(texts) == want
@@ -350,6 +351,37 @@ def test_langid(docs, rows, empty):
     same(langid.predict(docs, model), langid.predict(docs, langid.fit(docs.repartition(5).where(~langid.held_out()))))
     assert langid.predict(empty, model).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
+    assert [x[0] for x in model.predict(["½ ² ①", "١٢٣ _", None, "é"])][:3] == ["und"] * 3 and model.predict(["é"])[0][0] != "und"
+
+
+def test_langid_many_languages(spark):
+    """Every labelled language is learned, however many there are for the sample."""
+    rows = [(i, f"word{i // 2} of language number {i // 2}", f"l{i // 2:03d}", "a", 0) for i in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA).repartition(3), sample=40)
+    assert len(model.langs) == 150
+
+
+def brute_langid(model, texts):
+    """Cosines of sparse vectors made gram by gram."""
+    out = []
+    for t in texts:
+        raw = b"  " + (t or "").lower().encode().translate(langid._KEEP) + b"  "
+        tf = collections.Counter()
+        for i in range(1, len(raw) - 1):
+            if raw[i] != 32:
+                gram = raw[i - 1] | raw[i] << 8 | raw[i + 1] << 16
+                tf[(gram * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        v = {k: math.log1p(n) * float(model.idf[k]) for k, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        out.append([sum(x / norm * float(c[k]) for k, x in v.items()) for c in model.centroids])
+    return out
+
+
+def test_langid_brute(docs, rows):
+    model = langid.fit(docs.where(~langid.held_out()))
+    texts = [r[1] for r in rows if r[1] and r[0] is not None and r[0] < 100]
+    for close, (lang, score, _) in zip(brute_langid(model, texts), model.predict(texts)):
+        assert abs(max(close) - score) < 1e-4 and close[int(np.argmax(close))] - max(c for c, o in zip(close, model.owner) if model.langs[o] == lang) < 1e-4
 
 
 # ---------------------------------------------------------------- 7
@@ -464,12 +496,16 @@ def test_wavelet(n, sigma):
 
 
 def test_subwords_equal_library(monkeypatch):
+    from tokenizers import Tokenizer
+
     use = subword.Subwords(common.tokenizer_file(tokenfile.VOCABULARY))
+    fresh = Tokenizer.from_file(common.tokenizer_file(tokenfile.VOCABULARY))
     rng = random.Random(9)
-    texts = ["".join(rng.choice("ab c\n\t'sé 1漢!   \r'll😀\x1c\x85　") for _ in range(rng.randrange(60))) for _ in range(800)] + ["", None, " ", "a", " a", "<|endoftext|> x"]
-    want = [use.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    texts = ["".join(rng.choice("ab c\n\t'sé 1漢!   \r'll😀\x1c\x85　") for _ in range(rng.randrange(60))) for _ in range(800)] + ["", None, " ", "a", " a", "<|endoftext|> x", "hello <|endoftext|> world", "a  <|endoftext|><|endoftext|>", "<|endoftext"]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[texts.index("hello <|endoftext|> world")] == [31373, 220, 50256, 995]
     for memo, span in ((400_000, 1 << 20), (20, 4)):
-        monkeypatch.setattr(subword, "MEMO", memo)
+        use.remembered, use.memo, use.old = memo, {}, {}
         monkeypatch.setattr(subword, "SPAN", span)
         assert [np.frombuffer(x, use.dtype).tolist() for x in use.encode_batch(texts)] == want
         assert [np.frombuffer(x, use.dtype).tolist() for x in use.encode_batch(texts[::-1])][::-1] == want
@@ -481,17 +517,29 @@ def test_subwords_equal_library(monkeypatch):
 
 def test_media(docs, rows, empty):
     for kind in ("ppm", "bmp"):
-        got = by_id(media.features(media.to_media(clashing(docs), kind=kind)))
+        stored = media.tiles(media.to_media(clashing(docs), kind=kind))
+        got = by_id(media.features(stored))
         for i, text, *_ in rows:
             if i is not None:
                 raw = (text or "").encode()
                 full = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
                 r = got[i]
                 assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
-    assert media.features(media.to_media(empty)).count() == 0
+    assert media.features(media.tiles(media.to_media(empty))).count() == 0
     assert len({r.feature for i, r in got.items() if i >= 300 and i < 340}) == 1
-    tile = media.tiles(media.to_media(docs)).first()
-    assert bytes(tile.npy)[:6] == b"\x93NUMPY" and len(tile.dhash) == 16
+    texts = {r[0]: r[1] for r in rows}
+    for tile in stored.collect():
+        if tile.doc_id is None:
+            continue
+        # the tile and the hash from the pixels, without integral images
+        image = np.frombuffer(media.payload(texts[tile.doc_id])[1], np.uint8).reshape(-1, 64, 3).astype(float)
+        each = lambda h, w, x=image: np.repeat(np.repeat(x, h, 0), w, 1).reshape(h, x.shape[0], w, 64, 3).mean((1, 3))
+        if image.shape[0] > 200:
+            continue
+        assert (np.load(io.BytesIO(bytes(tile.npy))) == np.rint(np.round(each(8, 8), 6))).all()
+        grey = np.round(each(8, 9).mean(2), 6)
+        assert tile.dhash == np.packbits(grey[:, :-1] < grey[:, 1:]).tobytes().hex()
+        assert got[tile.doc_id].feature == f"{tile.dhash}:{zlib.crc32(bytes(tile.npy)):08x}" and got[tile.doc_id].media_sha256 == tile.media_sha256
 
 
 def test_pictures():
