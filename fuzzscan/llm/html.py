@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,8 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 LOW_STOPS, HIGH_STOPS, MOST_LINKED = 0.15, 0.25, 0.33
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>""", re.S
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r"""[>"']""")
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,6 +57,51 @@ def _marked(attributes: str) -> bool:
     return any(w in BAD_WORDS for m in _MARK.finditer(attributes) for w in _PART.findall(m[1].lower()))
 
 
+class Tags:
+    """The tags of a page, in time proportional to its length whatever it holds. A tag ends at the first > outside of
+    quotes, or if there is none at the first >; comments end at --> or with the page."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.dead: set[int] = set()  # quotes from which no > outside of quotes follows
+
+    def _end(self, at: int) -> int:
+        """Where a tag whose attributes begin at `at` ends."""
+        opened, seek = [], at
+        while m := _STOP.search(self.page, seek):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            opened.append(m.start())
+            seek = self.page.find(m[0], m.end()) + 1
+            if not seek:
+                break
+        self.dead.update(opened)
+        return self.page.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """Begin, end, name (empty for comments and declarations), whether it is an end tag, and attributes."""
+        page, at = self.page, 0
+        while 0 <= (begin := page.find("<", at)) <= self.last or page.startswith("<!--", begin) and begin >= 0:
+            if page.startswith("<!--", begin):
+                stop = page.find("-->", begin + 4)
+                at = stop + 3 if stop >= 0 else len(page)
+                moved = yield begin, at, "", False, ""
+            elif page[begin + 1 : begin + 2] in ("!", "?"):
+                at = page.find(">", begin) + 1
+                moved = yield begin, at, "", False, ""
+            elif m := _NAME.match(page, begin + 1):
+                end = self._end(m.end())
+                at = end + 1
+                moved = yield begin, at, m[2].lower(), bool(m[1]), page[m.end() : end]
+            else:
+                at, moved = begin + 1, None
+            if moved is not None:
+                at = moved
+                yield 0, 0, "", False, ""  # what send() returns
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of text in page order, with the number of characters inside links, whether they stand in a part that
     is no article by its tag, class, id or role, and whether inside an article element."""
@@ -64,6 +109,7 @@ def blocks(page: str) -> list[Block]:
     words: list[str] = []
     linked, in_link, leaf_bad, heading = 0, False, False, False
     open_: list[tuple[str, bool, bool]] = []  # name, bad, inside an article
+    held: Counter[str] = Counter()  # names in open_
     at = 0
 
     def add(raw: str) -> None:
@@ -83,16 +129,16 @@ def blocks(page: str) -> list[Block]:
         words.clear()
         linked = 0
 
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    tags = iter(Tags(page))
+    for begin, stop, name, ending, attributes in tags:
+        add(page[at:begin])
+        at = stop
         if not name:
             continue
-        ending, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in RAW and not ending:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
             at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
+            tags.send(at)
             if name == "title":
                 close()
             continue
@@ -111,16 +157,35 @@ def blocks(page: str) -> list[Block]:
                 inside = inside or name in ARTICLE_TAGS
                 bad = bad or name in BAD_TAGS or name == "header" and not inside or name not in ("html", "body") and name not in ARTICLE_TAGS and _marked(attributes)
                 open_.append((name, bad, inside))
-            else:
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == name:
-                        del open_[i:]
+                held[name] += 1
+            elif held[name]:
+                while True:
+                    closed = open_.pop()[0]
+                    held[closed] -= 1
+                    if closed == name:
                         break
     add(page[at:])
     close()
     return out
 
 
+def _sides(found: list[Block], order: range) -> dict[int, tuple[int, str]]:
+    """For each ambiguous block the distance and label of the nearest decided one before it in this order; inside an
+    article those that are bad do not count and its edge is a good one."""
+    out, last, anchor = {}, None, order.start - order.step
+    for i in order:
+        b = found[i]
+        if b.inside and not b.label:
+            out[i] = abs(i - anchor), "good"
+        elif not b.label and last is not None:
+            out[i] = abs(i - last), found[last].label
+        if not b.inside or b.label == "good":
+            anchor = i
+        if b.label:
+            last = i
+    return out
+
+
 def classify(found: list[Block]) -> None:
     """First pass: parts that are no article and blocks of links are bad; long blocks with many stop words are good;
     short ones, and inside an article those with few stop words, are ambiguous. Second pass: an ambiguous block takes
@@ -142,24 +207,13 @@ def classify(found: list[Block]) -> None:
         elif not b.near and not b.inside:
             b.label = "bad"
     n = len(found)
-    decided = [b.label for b in found]
-    for i, b in enumerate(found):
-        if b.label:
-            continue
-        distance = {"good": n + 1, "bad": n + 1}
-        for step in (1,) if b.heading and not b.inside else (-1, 1):
-            j, d = i + step, 1
-            while 0 <= j < n:
-                if b.inside and not found[j].inside:
-                    distance["good"] = min(distance["good"], d)  # the article's edge
-                    break
-                if decided[j] and not (b.inside and decided[j] == "bad"):
-                    distance[decided[j]] = min(distance[decided[j]], d)
-                    break
-                j, d = j + step, d + 1
-            else:
-                if b.inside:
-                    distance["good"] = min(distance["good"], d)
+    before, behind = _sides(found, range(n)), _sides(found, range(n - 1, -1, -1))
+    for i in [i for i, b in enumerate(found) if not b.label]:
+        b, distance = found[i], {"good": n + 1, "bad": n + 1}
+        for side in (behind,) if b.heading and not b.inside else (before, behind):
+            if i in side:
+                d, label = side[i]
+                distance[label] = min(distance[label], d)
         good, bad = distance["good"], distance["bad"]
         b.label = "good" if good < bad or good == bad <= n and (b.near or b.inside) else "bad"
 
@@ -173,7 +227,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page, in one pass without a shuffle.
 
-    Null and empty pages, and those without an article, give an empty text. Repeated rows each get a row; null ids and
+    Null and empty pages, and those without an article, give an empty text. A page takes time in proportion to its length,
+    however long it is and whatever its tags; a block as near to a good as to a bad one is decided as classify() says. Repeated rows each get a row; null ids and
     urls are kept; an empty table gives none; other columns are ignored. Character references are decoded, white space
     inside a block is one space, blocks are joined by one newline."""
 
