@@ -22,9 +22,10 @@ SAMPLE = 2048
 CENTROIDS = 4
 #: Documents in a dense block of vectors.
 BLOCK = 512
-#: A document is rejected if its cosine is below this share of the least that sampled documents of its length or more
-#: have. Below SHORT grams, where a cosine says little, the limit falls in proportion to the length.
-MARGIN, SHORT = 0.25, 64
+#: A document is rejected if its cosine is below MARGIN times the LOW quantile of those of sampled documents of its length
+#: or more, so that a few odd ones among them don't move the limit. Below SHORT grams, where a cosine says little, the
+#: limit falls in proportion to the length.
+MARGIN, LOW, SHORT = 0.5, 0.01, 64
 _LETTER = regex.compile(r"\p{L}")
 #: Letters and bytes of longer characters stay; the rest becomes a space.
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -62,7 +63,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 @dataclass
 class Model:
-    """Centroids (rows of unit length), the language of each, weights, and the least cosine by log2 of gram counts."""
+    """Centroids (rows of unit length), the language of each, weights, and the low cosine by log2 of gram counts."""
 
     langs: list[str]
     owner: np.ndarray
@@ -140,16 +141,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     c = np.concatenate(made)
     best = (x @ c.T).max(1)
     size = np.log2(np.maximum([r.n for r in rows], 1)).astype(np.int64)
-    # by log2 of a document's grams: the least cosine among sampled documents that are at least as long
-    floor = np.array([best[size >= min(k, size.max())].min() for k in range(40)])
+    # by log2 of a document's grams, over sampled documents that are at least as long
+    floor = np.array([np.quantile(best[size >= min(k, size.max())], LOW) for k in range(40)])
     return Model(langs, np.repeat(np.arange(len(langs)), [len(m) for m in made]), c, idf, floor)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (cosine of the best centroid) and rejected of every document, from its text alone.
 
-    Null texts and texts without a letter are `und`, score 0, and rejected. Repeated rows each get a row; ties go to
-    the first language by name; null ids are kept; an empty table gives none; other columns are ignored. Without any
+    Null texts and texts without a letter are `und`, score 0, and rejected. A very long text is one vector, whole. Repeated
+    rows each get a row; ties go to the first language by name; null ids are kept; an empty table gives none; other columns are ignored. Without any
     labelled document all are `und`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -348,6 +348,8 @@ def test_langid(docs, rows, empty):
     assert all(0 <= r.score <= 1 for r in got.values())
     kept = {r.doc_id for r in langid.keep(clashing(docs), model).collect()}
     assert kept >= set(range(240)) and not kept & {400, 401, 402, 403}
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler", base64.b64encode(random.Random(1).randbytes(300)).decode()]
+    assert all(far for *_, far in model.predict(foreign))
     same(langid.predict(docs, model), langid.predict(docs, langid.fit(docs.repartition(5).where(~langid.held_out()))))
     assert langid.predict(empty, model).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
