@@ -32,12 +32,6 @@ MOST = 500_000
 _MANY = np.uint64(0x0101010101010101)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _odd(n: int) -> np.ndarray:
     """n odd constants, from the hashes of 0..n-1."""
     return np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), simhash.SEED) | 1 for i in range(n)], np.uint64)
@@ -51,13 +45,13 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     joined = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for i in range(size if len(joined) else 0):
         joined += words[i : i + len(joined)] * place[i]
-    joined = _mixed(joined)
+    joined = common.mixed(joined)
     out, at = [], 0
     for m in n.tolist():
         if m >= size:
             out.append(np.unique(joined[at : at + m - size + 1]))
         else:
-            out.append(_mixed(np.array([(words[at : at + m] * place[:m]).sum(dtype=np.uint64) + np.uint64(m)], np.uint64)) if m else np.zeros(0, np.uint64))
+            out.append(common.mixed(np.array([(words[at : at + m] * place[:m]).sum(dtype=np.uint64) + np.uint64(m)], np.uint64)) if m else np.zeros(0, np.uint64))
         at += m
     return out
 
@@ -76,7 +70,7 @@ def wide(sets: list[np.ndarray], words: int) -> np.ndarray:
     inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     starts, heads = np.repeat(begins, parts) + 255 * inner, np.cumsum(parts) - parts
     for j, c in enumerate(_odd(words + 8)[8:]):
-        x = _mixed(flat * c)
+        x = common.mixed(flat * c)
         bits = np.empty((len(some), 8, 8), bool)  # document, byte, bit
         for k in range(8):
             sums = np.add.reduceat((x >> np.uint64(k)) & _MANY, starts)
@@ -133,7 +127,7 @@ def probes(fps: DataFrame, plan: simhash.Plan, words: int) -> DataFrame:
             own = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], 1)
             for number, mask, flip in masks:
                 at = np.flatnonzero(mask)
-                key = _mixed(((own[:, at] ^ flip[at]) & mask[at]) @ odd[at] + number * odd[words])
+                key = common.mixed(((own[:, at] ^ flip[at]) & mask[at]) @ odd[at] + number * odd[words])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), fp, *batch.columns[1 : 1 + CHECK]], schema=schema)
 
     return fps.select("fp", *[f"p{j}" for j in range(words)]).mapInArrow(run, ddl)
@@ -226,7 +220,9 @@ def verified(docs: DataFrame, fps: DataFrame, roots: DataFrame, size: int = SHIN
     members = common.written(fps.select("fp", "n", "first").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp"), "members")
     n = members.count()
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(block_docs)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
-    sized = common.written(members.join(members.groupBy("root").agg(blocks.alias("blocks")).hint("merge"), "root").withColumn("i", F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int")), "blocks")
+    large = common.written(members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    sized = members.join(_small(large, large.count()), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sized = common.written(sized.withColumn("i", F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int")), "blocks")
     ddl = "root long, i int, blocks int, fp long, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
