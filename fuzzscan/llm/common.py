@@ -133,6 +133,13 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, codes, n
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers with their bits spread; one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """pyarrow schema of a list like 'doc_id long, text string'."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
