@@ -97,7 +97,7 @@ def test_fingerprints(made):
     odd = near._odd(10)[8:]
     for s, row in zip(sets[:40] + long, [*bits[:40], bits[-1]]):
         for j in range(2):
-            x = near._mixed(s * odd[j])
+            x = common.mixed(s * odd[j])
             assert int(row[j]) == sum(1 << b for b in range(64) if 2 * int(((x >> np.uint64(b)) & np.uint64(1)).sum()) > len(s))
 
 

@@ -258,11 +258,44 @@ def toy_model(trained=True):
     tokens = [bytes([i % 256]) for i in range(300)]
     walk = lambda n: np.cumsum(np.concatenate([[rng.integers(50)], rng.choice([1, 2], n - 1, p=[0.9, 0.1])])) % 50
     windows = np.array([walk(attention.WINDOW + 1) for _ in range(256)])
-    model = attention.Model.fresh(tokens, np.bincount(windows.reshape(-1), minlength=300), windows)
-    losses = model.train(windows, 12, 0.01) if trained else []
+    counts, flat = np.bincount(windows.reshape(-1), minlength=300), windows.reshape(-1)
+    same = np.ones(len(flat) - 1, bool)
+    same[attention.WINDOW :: attention.WINDOW + 1] = False
+    model = attention.Model.fresh(tokens, counts, attention.neighbours(flat, same, *attention.buckets(counts)))
+    state, losses = attention.Adam(model.p), []
+    for _ in range(12 if trained else 0):
+        losses += model.train(windows, 0.01, state)
+    three = np.unique(attention.code(0, model.cls[windows[:, :-2]], windows[:, 1:-1], windows[:, 2:]), return_counts=True)
+    two = np.unique(attention.code(0, 0, windows[:, :-1], windows[:, 1:]), return_counts=True)
+    model.inside = attention.Inside(model.cls, model.share, two, three)
     return model.ready(), losses, walk
 
 
+def test_ids_within_a_class_add_up():
+    """After any two ids the probabilities of the ids of a class add up to 1, seen or not."""
+    model, _, _ = toy_model()
+    last = np.arange(300)
+    for far, near in ((0, 3), (5, 20), (attention.CLASSES, 300), (2, 299)):
+        p = np.exp(model.inside(np.full(300, far), np.full(300, near), last).astype(float))
+        assert np.allclose(np.bincount(model.cls, p, attention.CLASSES)[np.unique(model.cls)], 1, atol=1e-4)
+    table = attention.Table(np.arange(0, 70000, 7) << 20, np.arange(10000.0))
+    values, found = table.get(np.arange(70000) << 20)
+    assert (found == (np.arange(70000) % 7 == 0)).all() and (values[::7] == np.arange(10000)).all()
+
+
+def test_lm_windows_and_layout(docs, rows):
+    """Windows cover every training text, its start and end; scores do not depend on the layout."""
+    use = subword.rank_ids(lm.VOCABULARY)
+    table = lm.measured(docs, lm.frequent(docs.sparkSession.createDataFrame([], "word long, c long"), "word", 1), F.lit(False), lm.VOCABULARY)
+    made = lm._matrix([bytes(r.ids) for r in lm.training_windows(table, use.size, use.end, use.dtype, 1).collect()])
+    texts = [[use.size, *use.library.encode_ordinary(r[1] or ""), use.end] for r in rows]
+    want = [x[a : a + 33] for x in texts for a in range(0, len(x) - 1, 32)]
+    assert sorted([i for i in w if i != use.size + 1] for w in made.tolist()) == sorted(want)
+    a = {str(r.doc_id) + str(r.n_tokens): r.score for r in lm.score(docs).collect()}
+    b = {str(r.doc_id) + str(r.n_tokens): r.score for r in lm.score(docs.repartition(7)).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-4 * max(1, abs(a[k])) for k in a)
+
+
 def test_attention_learns_and_is_causal():
     model, losses, walk = toy_model()
     assert np.mean(losses[-4:]) < 0.5 * losses[0]
@@ -307,7 +340,8 @@ def test_windows_score_each_token_once():
         for i, t in enumerate(targets):
             a = 0 if i < attention.WINDOW else ((i - over) // attention.STRIDE) * attention.STRIDE
             part = seq[a : i + 1]
-            total += model._log_probs(part[None], np.full((1, len(part)), model.cls[t]), len(part) - 1)[0, 0] + model.share[t]
+            near, far = targets[i - 1] if i else 300, model.cls[targets[i - 2]] if i > 1 else attention.CLASSES
+            total += model._log_probs(part[None], np.full((1, len(part)), model.cls[t]), len(part) - 1)[0, 0] + model.inside(np.array([far]), np.array([near]), np.array([t]))[0]
         assert abs(score - total / math.log(10)) < 1e-3
 
 
