@@ -134,11 +134,12 @@ def matching_seq_col(a: Column, b: Column, alphabet: str = "iupac") -> Column:
 
 
 def pattern_regex(pattern: str) -> str:
-    """A regular expression, on upper-case text, for an IUPAC pattern without edits."""
+    """A regular expression for the places at which an IUPAC pattern matches without edits: at each place the codes, in
+    either case, that share a base with the pattern's."""
     out = []
     for c in pattern.upper():
         bits = IUPAC_CODES.get(c, 0)
-        chars = "".join(x for x, y in IUPAC_CODES.items() if bits & y)
+        chars = "".join(x + x.lower() for x, y in IUPAC_CODES.items() if bits & y)
         out.append(f"[{chars}]" if chars else r"[^\s\S]")
     return "".join(out)
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabets import checked, complement, valid_seq
 from .kernel import Ends, all_ends, floors, local_minima, with_zero
-from .trace import Match, align, region, turned
+from .trace import Match, aligned, region, turned
 
 #: (pattern, text up to the end, strand) -> whether to keep the end. On the - strand both are as they are searched there:
-#: the complemented pattern and the reversed text.
+#: the complemented pattern and the reversed text. A filter with an attribute `reach` gets only so many bytes before the
+#: end; one with a method `mask(pattern, texts, owner, ends, strand)` is asked once for all ends (number of the text,
+#: position) of a pattern and gives an array.
 EndFilter = Callable[[bytes, bytes, str], bool]
 MATCHES = "pattern_id string, text_id string, cost int, strand string, text_start long, text_end long, pattern_start int, pattern_end int, match_region string, cigar string"
 _FIELDS = pa.schema([("pattern_id", pa.string()), ("text_id", pa.string()), ("cost", pa.int32()), ("strand", pa.string()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("pattern_start", pa.int32()), ("pattern_end", pa.int32()), ("match_region", pa.string()), ("cigar", pa.string())])
@@ -89,16 +91,29 @@ def matches(texts: list[bytes], patterns: list[bytes], options: Options) -> Iter
         if strand == "-":
             texts, patterns = [t[::-1] for t in texts], [complement(p, options.alphabet) for p in patterns]
         for number, e in enumerate(ends_of(texts, patterns, options)):
-            pattern = patterns[number]
-            for t, end, cost in zip(e.text.tolist(), e.end.tolist(), e.cost.tolist()):
-                text = texts[t]
-                if options.end_filter and not options.end_filter(pattern, text[:end], strand):
-                    continue
-                if options.with_alignment:
-                    found = align(text, pattern, end, options.k, options.alphabet, options.alpha)
-                else:
-                    found = Match(-1, min(end, len(text)), -1, -1, cost, "+", "")
-                yield t, number, turned(found, len(text)) if strand == "-" else found
+            for t, m in placed(texts, patterns[number], kept(texts, patterns[number], e, strand, options), options):
+                yield t, number, turned(m, len(texts[t])) if strand == "-" else m
+
+
+def kept(texts: list[bytes], pattern: bytes, e: Ends, strand: str, options: Options) -> Ends:
+    """The ends that the end filter keeps."""
+    ask = options.end_filter
+    if ask is None or not len(e.end):
+        return e
+    if hasattr(ask, "mask"):
+        return e.where(ask.mask(pattern, texts, e.text, e.end, strand))
+    reach = getattr(ask, "reach", None)
+    upto = lambda t, end: texts[t][0 if reach is None else max(0, min(end, len(texts[t])) - reach) : end]
+    return e.where(np.array([bool(ask(pattern, upto(t, end), strand)) for t, end in zip(e.text.tolist(), e.end.tolist())], bool))
+
+
+def placed(texts: list[bytes], pattern: bytes, e: Ends, options: Options) -> Iterator[tuple[int, Match]]:
+    """Number of the text and match of each end, on the strand as given."""
+    if options.with_alignment:
+        yield from zip(e.text.tolist(), aligned(texts, e.text, e.end, pattern, options.k, options.alphabet, options.alpha))
+    else:
+        for t, end, cost in zip(e.text.tolist(), e.end.tolist(), e.cost.tolist()):
+            yield t, Match(-1, min(end, len(texts[t])), -1, -1, cost, "+", "")
 
 
 class Searcher:
@@ -114,8 +129,9 @@ class Searcher:
         return [m for _, _, m in matches([bytes(text)], [pattern], options)]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE bytes of a column, one row at least."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     groups = np.cumsum(sizes + 64) // SLICE
     edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
@@ -128,7 +144,7 @@ def _searched(texts: DataFrame, patterns: list[tuple[str, bytes]], options: Opti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 ids, raw = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows = [i for i, t in enumerate(raw) if t is not None]
                 held = []

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from ..functions.alphabets import complement, is_match, reverse_complement
+import numpy as np
+
+from ..functions.alphabets import equal_mask, fold, reverse_complement
 from ..functions.cigar import packed
 from .kernel import floors
 
+#: Cells of dynamic programming that are held at once, and a cost above all others.
+CELLS, FAR = 1 << 22, 1 << 20
+
 
 @dataclass(frozen=True)
 class Match:
@@ -23,51 +28,83 @@ class Match:
 
 
 def align(text: bytes, pattern: bytes, end: int, k: int, alphabet: str, alpha: float | None = None) -> Match:
-    """The alignment that ends at `end`, on the forward strand. Going back from the end, of the steps that keep the cost
-    least it takes the first of: match, text character alone, substitution, pattern character alone. With alpha, what is
-    left of the pattern at the start of the text, or beyond its end, hangs over and is not in the CIGAR."""
-    m, n = len(pattern), len(text)
-    steps = floors(alpha, m) if alpha is not None else range(m + 1)
-    over = max(0, end - n)
-    rows, stop = m - over, min(end, n)
-    first = max(0, stop - (m + k))
-    window = text[first:stop]
-    width = len(window)
-    equal = {c: [is_match(c, x, alphabet) for x in window] for c in set(pattern)}
-    table = [[0] * (width + 1)]
-    for j in range(1, rows + 1):
-        above, same = table[-1], equal[pattern[j - 1]]
-        left = int(steps[j])
-        row = [left]
-        for i in range(1, width + 1):
-            best = above[i - 1] + (not same[i - 1])
-            if above[i] + 1 < best:
-                best = above[i] + 1
-            if left + 1 < best:
-                best = left + 1
-            row.append(best)
-            left = best
-        table.append(row)
-    j, i, ops = rows, width, []
-    cost = table[j][i]
-    while j > 0:
-        here = table[j][i]
-        if i == 0 and alpha is not None:
-            break
-        if i and here == table[j - 1][i - 1] and equal[pattern[j - 1]][i - 1]:
-            ops.append("=")
-            i, j = i - 1, j - 1
-        elif i and here == table[j][i - 1] + 1:
-            ops.append("I")
-            i -= 1
-        elif i and here == table[j - 1][i - 1] + 1:
-            ops.append("X")
-            i, j = i - 1, j - 1
-        else:
-            ops.append("D")
-            j -= 1
-    total = cost + (int(steps[over]) if over else 0)
-    return Match(first + i, stop, j, rows, total, "+", packed("".join(reversed(ops))))
+    """The alignment that ends at `end`, on the forward strand; see aligned()."""
+    return aligned([text], np.zeros(1, np.int64), np.array([end], np.int64), pattern, k, alphabet, alpha)[0]
+
+
+def aligned(texts: list[bytes], owner: np.ndarray, ends: np.ndarray, pattern: bytes, k: int, alphabet: str, alpha: float | None = None) -> list[Match]:
+    """One alignment for each end (number of the text, position) on the forward strand. Going back from the end, of the
+    steps that keep the cost least it takes the first of: match, text character alone, substitution, pattern character
+    alone. With alpha, what is left of the pattern at the start of the text, or beyond its end, hangs over and is not in
+    the CIGAR. Many ends are worked on together; memory is bounded by CELLS."""
+    m = len(pattern)
+    most, out = max(1, CELLS // ((m + 1) * (m + k + 1))), []
+    for at in range(0, len(ends), most):
+        out += _aligned(texts, owner[at : at + most], ends[at : at + most], pattern, k, alphabet, alpha)
+    return out
+
+
+def _aligned(texts: list[bytes], owner: np.ndarray, ends: np.ndarray, pattern: bytes, k: int, alphabet: str, alpha: float | None) -> list[Match]:
+    m, n = len(pattern), np.array([len(texts[t]) for t in owner.tolist()], np.int64)
+    steps = floors(alpha, m) if alpha is not None else np.arange(m + 1)
+    over, stop = np.maximum(0, ends - n), np.minimum(ends, n)
+    rows, first = m - over, np.maximum(0, stop - (m + k))
+    width, count = int((stop - first).max(initial=0)), len(ends)
+    # windows end at the right edge; column `edge` stands before a window's first character
+    raw = np.frombuffer(b"".join(texts[t][a:b].rjust(width, b"\0") for t, a, b in zip(owner.tolist(), first.tolist(), stop.tolist())), np.uint8).reshape(count, width)
+    edge = (width - (stop - first)).astype(np.int64)
+    shown = np.frombuffer(fold(raw.tobytes(), alphabet), np.uint8).reshape(count, width)
+    needle = fold(pattern, alphabet)
+    equal = {c: equal_mask(shown, c, alphabet) for c in set(needle)}
+    columns = np.arange(width + 1, dtype=np.int32)
+    before = columns[None, :] < edge[:, None]
+    here = np.arange(count)
+    table = np.zeros((m + 1, count, width + 1), np.int32)
+    table[0][before] = FAR
+    for j in range(1, m + 1):
+        above, row = table[j - 1], table[j]
+        np.add(above[:, :-1], ~equal[needle[j - 1]], out=row[:, 1:])
+        np.minimum(row[:, 1:], above[:, 1:] + 1, out=row[:, 1:])
+        row[:, 0] = FAR
+        row[before] = FAR
+        row[here, edge] = steps[j]
+        row -= columns
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += columns
+        row[before] = FAR
+    j, i = rows.copy(), np.full(count, width, np.int64)
+    cost = table[j, here, i] + np.where(over > 0, steps[over], 0)
+    ops = np.zeros((m + width + 1, count), np.uint8)
+    live = j > 0
+    if alpha is not None:
+        live &= i > edge
+    t = 0
+    while live.any():
+        at = np.flatnonzero(live)
+        ja, ia = j[at], i[at]
+        now, text = table[ja, at, ia], ia > edge[at]
+        left = np.maximum(ia - 1, 0)
+        same = np.zeros(len(at), bool)
+        letters = np.frombuffer(needle, np.uint8)[ja - 1]
+        for c in np.unique(letters).tolist():
+            own = np.flatnonzero((letters == c) & text)
+            same[own] = equal[c][at[own], left[own]]
+        diagonal = table[ja - 1, at, left]
+        match = text & same & (now == diagonal)
+        insert = text & ~match & (now == table[ja, at, left] + 1)
+        change = text & ~match & ~insert & (now == diagonal + 1)
+        ops[t, at] = np.where(match, 61, np.where(insert, 73, np.where(change, 88, 68)))  # = I X D
+        i[at] = np.where(match | insert | change, left, ia)
+        j[at] = np.where(insert, ja, ja - 1)
+        live[at] = j[at] > 0
+        if alpha is not None:
+            live &= i > edge
+        t += 1
+    paths = np.ascontiguousarray(ops[:t][::-1].T)
+    return [
+        Match(f + b - e, s, p, r, c, "+", packed(path.tobytes().lstrip(b"\0").decode()))
+        for f, b, e, s, p, r, c, path in zip(first.tolist(), i.tolist(), edge.tolist(), stop.tolist(), j.tolist(), rows.tolist(), cost.tolist(), paths)
+    ]
 
 
 def turned(match: Match, n: int) -> Match:
@@ -79,6 +116,3 @@ def region(text: bytes, match: Match, alphabet: str) -> bytes:
     """The matched bytes in pattern direction."""
     part = text[match.text_start : match.text_end]
     return part if match.strand == "+" else reverse_complement(part, alphabet)
-
-
-__all__ = ["Match", "align", "complement", "region", "turned"]

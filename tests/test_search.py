@@ -10,7 +10,8 @@ from fuzzscan.functions import alphabets, sql
 from fuzzscan.operators import relational
 from fuzzscan.operators.search import Options, matches
 from fuzzscan.plans.ordered import running_before
-from fuzzscan.plans.rewrite import minima_by_window, search_long
+from fuzzscan.operators.guides import pam_filter
+from fuzzscan.plans.rewrite import search_long
 from fuzzscan.sources import readers, writers
 from fuzzscan.streaming import search_stream, write_stream
 
@@ -62,30 +63,54 @@ def test_validation(spark):
         search(seqs, [("p", b"ACGT")], 0, alphabet="dna", validate="error").collect()
 
 
-def test_long_texts(spark):
+@pytest.mark.parametrize("chunk", [37, 100, 5000])
+def test_long_texts(spark, chunk):
+    """Texts in parts give the rows of the whole texts: repeated and null ids, runs across parts, filters, options."""
     import random
 
     rng = random.Random(2)
-    seqs = [(str(i), "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((0, 5, 700, 1500))] + [("n", None), ("r", "A" * 900)]
-    df = spark.createDataFrame(seqs, "text_id string, text string")
-    for mode in ("local", "all"):
-        for pattern in (b"GATTACA", b"AAAAAA"):
-            plain = search(df, [("p", pattern)], 1, alphabet="dna", mode=mode)
-            assert rows(search_long(df, [("p", pattern)], 1, chunk=100, alphabet="dna", mode=mode), *plain.columns) == rows(plain, *plain.columns)
+    seqs = [(str(i % 3), "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((0, 5, 700, 900, 36, 37, 38))] + [("n", None), (None, "ACGGATTACATT" * 20), ("r", "A" * 300), (None, "GATTACA")]
+    df = spark.createDataFrame(seqs, "text_id string, text string").repartition(2)
+    for how in ({"mode": "local"}, {"mode": "all"}, {"mode": "local", "with_alignment": False, "seeded": False}, {"mode": "all", "rc": False, "end_filter": pam_filter(b"AGG")}):
+        plain = search(df, [("p", b"GATTACA"), ("p", b"AAAAAA"), ("q", b"CG")], 2, alphabet="dna", **how)
+        assert rows(search_long(df, [("p", b"GATTACA"), ("p", b"AAAAAA"), ("q", b"CG")], 2, chunk=chunk, alphabet="dna", **how), *plain.columns) == rows(plain, *plain.columns)
+    guides = (["GATTANNGG", "CCATANNGG"], 2)
+    assert rows(search_guides(df, *guides, chunk=chunk), "guide_id", "text_id", "strand", "start", "end", "cigar") == rows(search_guides(df, *guides), "guide_id", "text_id", "strand", "start", "end", "cigar")
+
+
+def test_long_texts_are_validated(spark):
+    df = spark.createDataFrame([("a", "ACGT" * 30), ("b", "ACGT" * 30 + "!")], "text_id string, text string")
+    how = {"chunk": 50, "alphabet": "dna", "rc": False}
+    assert {r.text_id for r in search_long(df, [("p", b"ACGT")], 0, validate="filter", **how).collect()} == {"a"}
+    with pytest.raises(Exception, match="not dna"):
+        search_long(df, [("p", b"ACGT")], 0, validate="error", **how).collect()
+    with pytest.raises(ValueError):
+        search_long(df, [("p", b"ACGT")], 0, end_filter=lambda *_: True, **how)
 
 
-def test_minima_by_window(spark):
+def test_part_minima():
+    """Parts of random ends, and how runs at their edges were entered, against the whole."""
     import random
 
     import numpy as np
 
     from fuzzscan.operators.kernel import Ends, local_minima
+    from fuzzscan.plans.rewrite import part_minima
 
     rng = random.Random(4)
-    e = [(t, i, rng.randint(0, 2)) for t in range(3) for i in range(1, 200) if rng.random() < 0.8]
-    df = spark.createDataFrame([(str(t), i, c) for t, i, c in e], "text_id string, text_end long, cost int")
-    kept = local_minima(Ends(*(np.array(x) for x in zip(*e))))
-    assert rows(minima_by_window(df, ["text_id"]), "text_id", "text_end", "cost") == sorted([(str(t), i, c) for t, i, c in zip(kept.text.tolist(), kept.end.tolist(), kept.cost.tolist())], key=str)
+    for _ in range(300):
+        n, size = rng.randrange(1, 40), rng.randrange(1, 9)
+        e = [(i, rng.randint(0, 1)) for i in range(n + 1) if rng.random() < 0.9]
+        whole = Ends(np.zeros(len(e), np.int64), *(np.array([x[j] for x in e], np.int64) for j in (0, 1)))
+        got, was = [], None
+        for low in range(0, n, size):
+            high = min(low + size, n)
+            part = whole.where((whole.end >= low) & (whole.end <= high + 1))
+            minima, open_, edges = part_minima(part, np.array([low]), np.array([high]))
+            got += [x for x, m, o in zip(part.end.tolist(), minima.tolist(), open_.tolist()) if m and (not o or was)]
+            through, entered = edges.get(0, (False, None))
+            was = was if through else entered
+        assert got == local_minima(whole).end.tolist()
 
 
 def test_guides(spark):
