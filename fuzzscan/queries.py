@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import alphabets, cigar, sql
 from .operators import relational
 from .operators.guides import search_guides
@@ -116,19 +117,43 @@ _add("iupac_exact", iupac_exact, f"""SELECT doc_id, '+' AS strand, CAST(e AS BIG
 
 
 def iupac_rc_k2(spark: SparkSession, sf: str) -> DataFrame:
-    return _where(search(_docs(spark, sf, MASKED), [("p", b"GATNRYC")], 2, alphabet="iupac"))
+    return _where(search(_docs(spark, sf, BASES), [("p", b"GATNRYCAGTA")], 2, alphabet="iupac"))
 
 
-_add("iupac_rc_k2", iupac_rc_k2)
+def _ends_rc_sql(pattern: str, k: int, text: str, alphabet: str) -> str:
+    """doc_id, strand, pos and cost of local minima on both strands, by dynamic programming over lists."""
+    parts = []
+    for strand, needle, own in (("+", pattern, text), ("-", alphabets.complement(pattern.encode(), alphabet).decode(), f"reverse({text})")):
+        parts.append(_placed_sql(_local_sql(oracles.ends_sql(oracles.source_sql(needle, own, alphabet), k)), strand))
+    return " UNION ALL ".join(parts)
+
+
+_add("iupac_rc_k2", iupac_rc_k2, _ends_rc_sql("GATNRYCAGTA", 2, BASES[1], "iupac"))
+
+#: Columns of a whole match but the pattern's and the text's id.
+_ROW = ("strand", "cost", "text_start", "text_end", "pattern_start", "pattern_end", "match_region", "cigar")
+
+
+def _rows(found: DataFrame) -> DataFrame:
+    return found.select(F.col("text_id").cast("long").alias("doc_id"), *_ROW)
+
+
+def _rows_sql(*args, **how) -> str:
+    return f"SELECT doc_id, {', '.join(_ROW)} FROM ({oracles.rows_sql(*args, **how)})"
+
+
+_OVER = "GATTACAG"
 
 
 def overhang(spark: SparkSession, sf: str) -> DataFrame:
     """A pattern that may hang over either end of a text at half a cost for each character."""
-    found = search(_docs(spark, sf, MASKED), [("p", b"ACGTACGTAC")], 4, alphabet="iupac", rc=True, alpha=0.5)
-    return found.select(F.col("text_id").cast("long").alias("doc_id"), "cost", "strand", "text_start", "text_end", "pattern_start", "pattern_end", "cigar")
+    return _rows(search(_docs(spark, sf, BASES), [("p", _OVER.encode())], 1, alphabet="iupac", rc=True, alpha=0.5))
 
 
-_add("overhang_alpha05", overhang)
+_add("overhang_alpha05", overhang, _rows_sql(_OVER, 1, BASES[1], "iupac", _local_sql, rc=True, alpha=0.5))
+_LONGER = "TACACAGTCAAG"
+_add("dna_rows_rc_k3", lambda spark, sf: _rows(search(_docs(spark, sf, BASES), [("p", _LONGER.encode())], 3, alphabet="dna")), _rows_sql(_LONGER, 3, BASES[1], "dna", _local_sql, rc=True))
+_add("long_rows_rc_k3", lambda spark, sf: _rows(search_long(_docs(spark, sf, BASES), [("p", _LONGER.encode())], 3, chunk=1024, alphabet="dna")), ORACLE_SQL["dna_rows_rc_k3"])
 
 GUIDES = ["GATTACAGGTNGG", "CCGATTAGCANGG"]
 _PLAIN_GUIDE = "ACATTACGTGG"
@@ -151,7 +176,26 @@ def _guides_sql(pam: bool) -> str:
 
 _add("guides_pam", guides, _guides_sql(True))
 _add("guides_pam_edits", lambda spark, sf: guides(spark, sf, True), _guides_sql(False))
-_add("guides_nfrac", lambda spark, sf: guides(spark, sf, text=MASKED, guides_=GUIDES, frac=0.1, k=6))
+#: The bases of a text, with N for its digits.
+WITH_N = ("translate(regexp_replace(upper(text), '[^ACGT0-9]', ''), '0123456789', 'NNNNNNNNNN')", "translate(regexp_replace(upper(text), '[^ACGT0-9]', '', 'g'), '0123456789', 'NNNNNNNNNN')")
+
+
+def _guides_nfrac_sql(k: int, frac: float) -> str:
+    """All ends whose last characters match the PAM, by their alignments."""
+    codes = lambda c: oracles.equal_to(c, "iupac")
+    parts = []
+    for number, guide in enumerate(GUIDES, 1):
+        pams = {strand: [codes(c) for c in (guide if strand == "+" else alphabets.complement(guide.encode(), "iupac").decode())[-3:]] for strand in "+-"}
+        rows = []
+        for strand in "+-":
+            near = " AND ".join(f"contains('{pams[strand][i]}', substring(s, e - {2 - i}, 1))" for i in range(3))
+            whole = oracles.rows_sql(guide, k, WITH_N[1], "iupac", lambda x: f"SELECT * FROM ({x}) WHERE e > 0", rc=True, keep=f"e >= 3 AND {near}")
+            rows.append(f"SELECT * FROM ({whole}) WHERE strand = '{strand}'")
+        parts.append(f"SELECT doc_id, 'guide_{number}' AS guide_id, strand, CASE WHEN strand = '+' THEN text_end ELSE text_start END AS pos, cost, match_region FROM ({' UNION ALL '.join(rows)})")
+    return f"SELECT doc_id, guide_id, strand, pos, cost FROM ({' UNION ALL '.join(parts)}) WHERE (length(match_region) - length(replace(match_region, 'N', ''))) / length(match_region) <= {frac}"
+
+
+_add("guides_nfrac", lambda spark, sf: guides(spark, sf, text=WITH_N, guides_=GUIDES, frac=0.1, k=3), _guides_nfrac_sql(3, 0.1))
 
 
 def long_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,6 +236,16 @@ def contamination_exact(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("pattern_id").cast("long").alias("item_id"), F.col("text_id").cast("long").alias("doc_id"), "hits")
 
 
+def contamination_sql(k: int) -> str:
+    """Items and documents that share one of k + 1 pieces of the item, and in those pairs all ends, byte by byte. Too slow
+    for whole tables, where lists of a long document are gone through for each place of an item; for small ones."""
+    piece = "substring(text, 1 + length(text) * i // {n}, length(text) * (i + 1) // {n} - length(text) * i // {n})".format(n=k + 1)
+    pairs = f"SELECT DISTINCT d.doc_id, b.item_id, d.text AS s, b.text AS t FROM documents d JOIN (SELECT item_id, text, {piece} AS piece FROM benchmark, range({k + 1}) AS r(i)) b ON contains(d.text, b.piece)"
+    source = f"SELECT doc_id * 1000000 + item_id AS doc_id, {oracles.utf8('s')} AS chars, {oracles.utf8('t')} AS p FROM ({pairs})"
+    best = f"SELECT * FROM ({_local_sql(oracles.ends_sql(source, k, oracles.SAME))}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c, e) = 1"
+    return f"SELECT CAST(doc_id % 1000000 AS BIGINT) AS item_id, CAST(doc_id // 1000000 AS BIGINT) AS doc_id, c AS cost, text_start, text_end, cigar FROM {oracles.aligned_sql(source, best, k, oracles.SAME)}"
+
+
 _add("benchmark_contamination", contamination)
 _add("benchmark_exact", contamination_exact, """SELECT b.item_id, d.doc_id, CAST((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS BIGINT) AS hits
     FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
@@ -258,7 +312,9 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("text_id").cast("long").alias("doc_id"), "text_end", steps).select("doc_id", "text_end", "step", "at.pattern_pos", "at.text_pos")
 
 
-_add("alignment_paths", paths)
+_STEPS = "length(left(ops, step)) - length(replace(left(ops, step), '{op}', ''))"
+_add("alignment_paths", paths, f"""SELECT doc_id, text_end, CAST(step AS INTEGER) AS step, CAST(pattern_start + step - ({_STEPS.format(op='I')}) AS INTEGER) AS pattern_pos, CAST(text_start + step - ({_STEPS.format(op='D')}) AS BIGINT) AS text_pos
+    FROM (SELECT *, unnest(range(0, length(ops))) AS step FROM ({oracles.rows_sql(_PATH, 2, PLAIN[1], 'ascii', _local_sql)}))""")
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,6 +37,31 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
+def test_contamination(spark, tmp_path):
+    """The query without SQL on whole tables, on a small one: items with edits, in the middle and at the ends."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(10))) for i in range(4)]
+    docs = []
+    for i in range(12):
+        text = list(items[i % 4][1])
+        for _ in range(rng.choice([0, 2, 6, 9, 12])):
+            text[rng.randrange(len(text))] = rng.choice(["", "x", "é", "ab"])
+        docs.append((i, " ".join([word() for _ in range(i % 3)] + ["".join(text)] + [word() for _ in range(i % 4)])))
+    docs += [(20, None), (21, ""), (22, items[0][1] + " " + items[1][1])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = table(queries.contamination(spark, str(tmp_path)).toPandas())
+    assert got == table(con.execute(queries.contamination_sql(8)).df()) and len(got[1]) > 6
+
+
 def test_entry_without_the_pipeline_operators():
     code = "import sys; sys.modules['fuzzscan.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert not any(n.startswith('op') for n in e.queries()) and e.oracle_sql()"
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
