@@ -47,12 +47,12 @@ def test_contamination(spark, tmp_path):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
     items = [(i, " ".join(word() for _ in range(10))) for i in range(4)]
     docs = []
-    for i in range(12):
+    for i in range(24):
         text = list(items[i % 4][1])
-        for _ in range(rng.choice([0, 2, 6, 9, 12])):
+        for _ in range(rng.choice([0, 2, 4, 6, 9])):
             text[rng.randrange(len(text))] = rng.choice(["", "x", "é", "ab"])
         docs.append((i, " ".join([word() for _ in range(i % 3)] + ["".join(text)] + [word() for _ in range(i % 4)])))
-    docs += [(20, None), (21, ""), (22, items[0][1] + " " + items[1][1])]
+    docs += [(30, None), (31, ""), (32, items[0][1] + " " + items[1][1])]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
