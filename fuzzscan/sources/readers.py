@@ -27,10 +27,10 @@ def read_fasta(spark: SparkSession, path: str | list[str], id_mode: str = "heade
 
 
 def records(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(header, sequence) of a FASTA or FASTQ file's bytes, gzip or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """(header, sequence) of a FASTA or FASTQ file's bytes, gzip or not; gzip is inflated as it is read."""
     lines = io.BytesIO(data)
+    if data[:2] == b"\x1f\x8b":
+        lines = io.BufferedReader(gzip.GzipFile(fileobj=lines), 1 << 20)
     header, parts = None, []
     while line := lines.readline():
         line = line.rstrip(b"\r\n")
@@ -55,7 +55,8 @@ def records(data: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 def read_fastx(spark: SparkSession, path: str | list[str], id_mode: str = "header") -> DataFrame:
-    """text_id and text of every record of FASTA or FASTQ files; a file is read by one task, which holds it whole."""
+    """text_id and text of every record of FASTA or FASTQ files; a file is read by one task, which holds its bytes as they
+    are stored (2 GB at most) and some 16 MB of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

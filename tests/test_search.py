@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fuzzscan import cli, search, search_guides
-from fuzzscan.functions import alphabets, sql
+from fuzzscan.functions import alphabets, cigar, sql
 from fuzzscan.operators import relational
 from fuzzscan.operators.search import Options, matches
 from fuzzscan.plans.ordered import running_before
@@ -141,6 +141,12 @@ def test_relational(texts, spark):
     for i in range(1000):
         assert got[i] == total
         total += i % 7
+    names = df.select(F.format_string("k%05d", F.col("id") * F.col("id") * F.col("id") % 99991).alias("id"), "v").dropDuplicates(["id"])  # strings, unevenly spread
+    got = {r.id: (r.before, r.v) for r in running_before(names, "id", "v", 16).collect()}
+    total = 0
+    for key in sorted(got):
+        assert got[key][0] == total
+        total += got[key][1]
 
 
 def test_columns(spark):
@@ -185,6 +191,12 @@ def test_sql_functions(spark, texts):
     one = spark.sql("SELECT fuzzy_count(text, 'of the', 1, 'ascii') n, fuzzy_best_cost(text, 'of the', 1, 'ascii') c FROM t WHERE text_id = 'a'").first()
     assert one.n == 2 and one.c == 0
     assert spark.sql("SELECT reverse_complement_dna('ACGTT')").first()[0] == "AACGT"
+    over = spark.sql("SELECT m.cost, m.text_start, m.text_end, m.cigar, m.pattern_start FROM fuzzy_search('GTXXXNNN', 'ACGT', 1, 'iupac', 'local', false, CAST(0.5 AS DOUBLE)) m ORDER BY text_start")
+    assert [tuple(r) for r in over.collect()][0] == (1, 0, 2, "2=", 2)
+    for a, b, want in (("a", "N", True), ("C", "y", True), ("A", "C", False), ("X", "X", False), ("!", "!", False), ("AC", "A", False)):
+        assert spark.sql(f"SELECT iupac_match('{a}', '{b}')").first()[0] is want
+    for c in ("2=X3=", "12=I2D", "", "I", "D="):
+        assert [tuple(x) for x in spark.sql(f"SELECT cigar_path('{c}', 1, 4L)").first()[0]] == cigar.path(c, 1, 4)
 
 
 def test_stream(spark, texts, tmp_path):
