@@ -297,6 +297,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     state = common.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
+    if not state.limit(1).count():
+        return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most):
         state = common.written(star(common.written(star(state, True), "star"), False), "star")
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
