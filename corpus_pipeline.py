@@ -28,7 +28,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of sources takes them."""
+    """The documents as often as the mix of sources takes them, whole: mixing.apply()."""
     return mixing.apply(docs)
 
 
@@ -47,10 +47,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir; each but the last is written to the shared folder and read again."""
+    """All stages on the documents of sf_dir; each but the last is written to the shared folder and read again, and deleted
+    when the next one is written.
+
+    Any column may be null; null texts and texts without letters go with the first stage. A very long text is a document
+    like any other. Rows with equal ids are told apart by their texts, and of equal rows one stays. Columns that documents
+    have beyond their own are kept, whatever their names, up to the last stage. An empty table gives none."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.done(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

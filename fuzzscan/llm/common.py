@@ -53,12 +53,27 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns the table: cuts the lineage, survives lost
-    executors (Spark's commit protocol) and keeps column pruning. Deleted when the application ends."""
+    executors (Spark's commit protocol) and keeps column pruning. Deleted by done(), else when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _paths[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fuzzscan_path = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more; leaves other frames alone."""
+    for table in tables:
+        path = getattr(table, "_fuzzscan_path", None)
+        if path in _paths:
+            _forget(_paths.pop(path), path)
+
+
+#: Written tables that are still there, and their sessions.
+_paths: dict[str, SparkSession] = {}
+atexit.register(lambda: [_forget(spark, path) for path, spark in _paths.items()])
 
 
 def prefixed(df: DataFrame, order: list, totals: dict[str, str | Column]) -> DataFrame:

@@ -612,7 +612,45 @@ def test_sharding(docs, rows, empty):
         assert r.size == len((text or "").encode()) + 16 and r.text_crc32 == zlib.crc32((text or "").encode()) and r.law == "key"
         assert r.grown_shard in (r.shard, 5)
         slots[r.shard].append(r.slot)
+    for r in got:  # the winner, one shard after another
+        if r.doc_id is not None:
+            scores = []
+            for i in range(6):
+                h = xxhash.xxh64_intdigest(b"shard", 42)
+                h = xxhash.xxh64_intdigest(i.to_bytes(4, "little"), h)
+                h = xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little"), h)
+                scores.append(-1 / math.log(((h >> 12) + 0.5) / (1 << 52)))
+            assert r.shard == int(np.argmax(scores[:5])) and r.grown_shard == int(np.argmax(scores))
     assert set(slots) == set(range(5)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard(empty, [1.0]).count() == 0
     heavy = collections.Counter(r.shard for r in sharding.shard(docs.sparkSession.range(4000).selectExpr("id doc_id", "'x' text"), [3.0, 1.0, 0.0]).collect())
     assert 2800 < heavy[0] < 3200 and heavy[2] == 0
+
+
+# ---------------------------------------------------------------- very long texts
+
+
+def test_very_long_texts(spark, oracle):
+    """A text of over 5 MB, beyond every slice: each operator handles it whole."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    stock = [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(4000)]
+    text = " ".join(rng.choice(stock) for _ in range(1_100_000))
+    assert len(text) > 5 << 20
+    docs = spark.createDataFrame([(1, text, "en", "a", 0), (2, "a short one of it all", "en", "a", 0), (3, text + "é", "en", "b", 0)], SCHEMA).repartition(2)
+    ids = oracle.encode_ordinary(text)
+    trip = by_id(bpe.round_trip(docs))
+    assert trip[1].n_tokens == len(ids) and trip[1].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and trip[1].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    judged = by_id(quality.judge(docs))
+    assert judged[1].n_words == 1_100_000 and judged[1].word_chars == len(text) - 1_099_999
+    prints = {r.doc_id: r for r in simhash.resolve(docs).collect()}
+    assert prints[1].fp & (2**64 - 1) == brute_print(text) and prints[3].component_id == 1
+    library = Tokenizer.from_file(common.tokenizer_file(tokenfile.VOCABULARY))
+    want = library.encode(text, add_special_tokens=False).ids + [2]
+    assert by_id(tokenfile.read_files(tokenfile.write_files(docs)))[1].ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
+    assert by_id(media.features(media.tiles(media.to_media(docs))))[1].payload_sha256 == hashlib.sha256(media.payload(text)[1]).hexdigest()
+    assert by_id(sharding.shard(docs, [1.0]))[1].text_crc32 == zlib.crc32(text.encode())
+    assert {r.doc_id: r.size for r in mixing.mix(docs).collect()}[1] == 1_100_000
+    model = langid.fit(docs)
+    assert by_id(langid.predict(docs, model))[1].lang_pred == "en"
