@@ -29,3 +29,18 @@ def test_grid(spark):
     profile = benchmarks.overhang_profile()
     assert {a for a, _, _ in profile} == {0.0, 0.5, 1.0} and (0.5, 50, 0) in profile and (0.5, 10, 5) in profile
     assert benchmarks.main(["--rounds", "1"]) == 0
+
+
+def test_config_files(tmp_path, capsys):
+    files = {
+        "grid": 'query_lengths = [20, 100]\ntext_lengths = [1000]\nk = [0.05, 5]\nmatches = [0]\nbench_iter = [2]\nalphabet = ["dna"]\nprofile = ["dna"]\nrc = ["withoutrc", "withrc"]\n',
+        "profiles": "q_lens = [20]\nt_lens = [1000]\nk = 2\niterations = 3\n",
+        "overhang": "alphas = [0.0, 1.0]\n",
+    }
+    lines = {}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+        assert benchmarks.main([f"--{name}", str(tmp_path / name)]) == 0
+        lines[name] = capsys.readouterr().out.splitlines()
+    assert len(lines["grid"]) == 2 * 2 * 4 and len(lines["profiles"]) == 4  # of 20 characters those with k = 1 and 5, of 100 with 5 and 5
+    assert lines["overhang"][0] == "alpha,end_pos,cost" and {x.split(",")[0] for x in lines["overhang"][1:]} == {"0.0", "1.0"}
