@@ -21,8 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 PLAIN = ("regexp_replace(text, '[^ -~\\\\n]', '?')", "regexp_replace(text, '[^ -~\\n]', '?', 'g')")
 #: The bases of a text.
 BASES = ("regexp_replace(upper(text), '[^ACGT]', '')", "regexp_replace(upper(text), '[^ACGT]', '', 'g')")
-#: Bases with N for the rest of the letters.
-MASKED = ("translate(md5(text), '0123456789abcdef', 'ACGTACGTNNACGTAC')",) * 2
+#: The IUPAC codes of a text; documents in capitals, or with few letters, can hold bases alone or nothing.
+CODES = ("regexp_replace(upper(text), '[^ACGTURYKMBVDHSWNX]', '')", "regexp_replace(upper(text), '[^ACGTURYKMBVDHSWNX]', '', 'g')")
 
 
 def _docs(spark: SparkSession, sf: str, text: tuple[str, str], table: str = "documents", key: str = "doc_id") -> DataFrame:
@@ -340,15 +340,20 @@ def _scalar(name: str, columns: Callable[[Column], dict[str, Column]], text: tup
 
 
 _DNA = "'ACGTacgt', 'TGCAtgca'"
-_scalar("complement", lambda s: {"dna": alphabets.complement_col(s), "iupac": alphabets.complement_col(s, "iupac")}, MASKED, {"dna": f"translate(s, {_DNA})", "iupac": "translate(s, 'ACGTURYKMBVDHSWNXacgturykmbvdhswnx', 'TGCAAYRMKVBHDSWNXtgcaayrmkvbhdswnx')"})
+_scalar("complement", lambda s: {"dna": alphabets.complement_col(s), "iupac": alphabets.complement_col(s, "iupac")}, PLAIN, {"dna": f"translate(s, {_DNA})", "iupac": "translate(s, 'ACGTURYKMBVDHSWNXacgturykmbvdhswnx', 'TGCAAYRMKVBHDSWNXtgcaayrmkvbhdswnx')"})
 _scalar("reverse_complement", lambda s: {"rc": alphabets.reverse_complement_col(s)}, BASES, {"rc": f"reverse(translate(s, {_DNA}))"})
-_scalar("valid_seq", lambda s: {"dna": alphabets.valid_seq_col(s, "dna"), "iupac": alphabets.valid_seq_col(s, "iupac"), "ascii": alphabets.valid_seq_col(s, "ascii")}, MASKED, {"dna": "regexp_full_match(s, '[ACGTacgt]*')", "iupac": "regexp_full_match(s, '[ACTUGNRYSWKMBDHVXactugnryswkmbdhvx]*')", "ascii": "true"})
-_scalar("n_fraction", lambda s: {"frac": alphabets.n_fraction_col(s)}, MASKED, {"frac": "CAST(length(s) - length(replace(upper(s), 'N', '')) AS DOUBLE) / length(s)"})
+_scalar("valid_seq", lambda s: {"dna": alphabets.valid_seq_col(s, "dna"), "iupac": alphabets.valid_seq_col(s, "iupac"), "ascii": alphabets.valid_seq_col(s, "ascii")}, WITH_N, {"dna": "regexp_full_match(s, '[ACGTacgt]*')", "iupac": "regexp_full_match(s, '[ACTUGNRYSWKMBDHVXactugnryswkmbdhvx]*')", "ascii": "true"})
+_scalar("n_fraction", lambda s: {"frac": alphabets.n_fraction_col(s)}, WITH_N, {"frac": "CAST(length(s) - length(replace(upper(s), 'N', '')) AS DOUBLE) / nullif(length(s), 0)"})
 _CASES = " ".join(f"WHEN '{c}' THEN {v}" for c, v in alphabets.IUPAC_CODES.items())
-_scalar("iupac_code", lambda s: {"code": alphabets.iupac_code_col(F.substring(s, 1, 1)), "meets": alphabets.is_match_col(F.substring(s, 1, 1), F.substring(s, 2, 1), "iupac")}, MASKED,
-        {"code": f"CAST(CASE substring(s, 1, 1) {_CASES} ELSE 0 END AS INTEGER)", "meets": f"((CASE substring(s, 1, 1) {_CASES} ELSE 0 END) & (CASE substring(s, 2, 1) {_CASES} ELSE 0 END)) <> 0"})
-_scalar("matching_seq", lambda s: {"ok": alphabets.matching_seq_col(F.substring(s, 1, 3), F.substring(s, 9, 3))}, MASKED,
-        {"ok": "(" + " AND ".join(f"((CASE substring(s, {i}, 1) {_CASES} ELSE 0 END) & (CASE substring(s, {i + 8}, 1) {_CASES} ELSE 0 END)) <> 0" for i in (1, 2, 3)) + ")"})
+def _code_sql(char: str) -> str:
+    return f"CASE {char} {_CASES} ELSE 0 END"
+
+
+_scalar("iupac_code", lambda s: {"code": alphabets.iupac_code_col(F.substring(s, 1, 1)), "meets": alphabets.is_match_col(F.substring(s, 1, 1), F.right(s, F.lit(1)), "iupac")}, CODES,
+        {"code": f"CAST({_code_sql('substring(s, 1, 1)')} AS INTEGER)", "meets": f"(({_code_sql('substring(s, 1, 1)')}) & ({_code_sql('right(s, 1)')})) <> 0"})
+# a whole text and itself backwards
+_scalar("matching_seq", lambda s: {"ok": alphabets.matching_seq_col(s, F.reverse(s))}, WITH_N,
+        {"ok": f"length(s) = 0 OR list_bool_and(list_transform(list_zip(string_split(s, ''), string_split(reverse(s), '')), lambda x: (({_code_sql('x[1]')}) & ({_code_sql('x[2]')})) <> 0))"})
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
