@@ -296,6 +296,16 @@ def test_lm_windows_and_layout(docs, rows):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-4 * max(1, abs(a[k])) for k in a)
 
 
+def test_lm_trains_on_every_window(docs, monkeypatch):
+    """Each window of each training text is in one round."""
+    use, seen = subword.rank_ids(lm.VOCABULARY), []
+    table = lm.measured(docs, lm.frequent(docs.sparkSession.createDataFrame([], "word long, c long"), "word", 1), F.lit(False), lm.VOCABULARY)
+    monkeypatch.setattr(lm, "_averaged", lambda model, windows, *_: seen.append(sorted(bytes(r.ids) for r in windows.collect())))
+    lm.trained(table)
+    made = lm.training_windows(table, use.size, use.end, use.dtype, 1)
+    assert len(seen) == len(lm.RATES) and all(seen) and sorted(sum(seen, [])) == sorted(bytes(r.ids) for r in made.collect())
+
+
 def test_attention_learns_and_is_causal():
     model, losses, walk = toy_model()
     assert np.mean(losses[-4:]) < 0.5 * losses[0]
