@@ -158,8 +158,9 @@ class Codec(subword.WordEncoder):
         self.learn([p for p in new if p not in known])
         return [b"".join([known[p] for p in pieces]) for pieces in found]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        return self.whole([" " + w for w in words])
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = self.whole([" " + w for w in words])
+        return np.frombuffer(b"".join(made), self.dtype), np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.tokens

@@ -558,6 +558,22 @@ def test_subwords_equal_library(monkeypatch):
     assert b"".join(use.tokens()[i] for i in want[5]).decode() == texts[5]
 
 
+@pytest.mark.parametrize("make", [lambda: subword.Subwords(common.tokenizer_file(tokenfile.VOCABULARY)), lambda: subword.RankIds(common.tokenizer_file(lm.VOCABULARY))])
+def test_frequent_words_are_learned_once(make, monkeypatch):
+    """Words met often stay known while many others, more than are remembered, come and go; ids stay those of the library."""
+    use, learned = make(), collections.Counter()
+    words = use.words
+    monkeypatch.setattr(use, "words", lambda some: learned.update(some) or words(some))
+    use.remembered, often = 2000, [f"often{i}" for i in range(100)]
+    for k in range(9):
+        some = [] if k % 3 else often * 20
+        text = " ".join(["x", *some, *(f"once{k}n{i}" for i in range(1500))])
+        (got,) = use.encode_batch([text])
+        want = use.library.encode(text, add_special_tokens=False).ids if isinstance(use, subword.Subwords) else use.library.encode_ordinary(text)
+        assert np.frombuffer(got, use.dtype).tolist() == want
+    assert {learned[w] for w in often} == {1} and len(use.known) <= 2000
+
+
 # ---------------------------------------------------------------- 9
 
 
