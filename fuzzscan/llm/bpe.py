@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, subword
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: A Python worker remembers the ids of so many pre-tokens, of as many words, and of as many older ones of both: about 250
-#: bytes each, so some 80 MB at most.
+#: A Python worker remembers the ids of so many pre-tokens of words that hold several, and of as many older ones: about 250
+#: bytes each. Words that are one pre-token are remembered with the other words alone.
 PIECES = 80_000
 
 
@@ -95,7 +95,7 @@ class Codec(subword.WordEncoder):
                     self.pairs[a][b] = rank
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        super().__init__(np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4"), PIECES)
+        super().__init__(np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4"))
 
     def merged(self, piece: bytes) -> list[int]:
         """Merges the pair of least rank, the leftmost of equals, until none is left: a heap of rank and place over a
@@ -133,21 +133,20 @@ class Codec(subword.WordEncoder):
                     heappush(heap, r << bits | p)
         return [x for x in ids if x >= 0]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of these pre-tokens: whole ones from the perfect hash, the others merged."""
+    def coded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of these pre-tokens: whole ones from the perfect hash, the others merged."""
         raw = [p.encode() for p in pieces]
         numbers = self.hash.number(raw)
         ids = np.where(numbers >= 0, self.slots[numbers], 0).tolist()
         tokens, item = self.tokens, self.dtype.itemsize
         code = "H" if item == 2 else "I"
-        for piece, key, number, i in zip(pieces, raw, numbers.tolist(), ids):
-            if number >= 0 and tokens[i] == key:
-                self.pieces[piece] = i.to_bytes(item, "little")
-            else:
-                self.pieces[piece] = array(code, self.merged(key)).tobytes()
+        return [
+            i.to_bytes(item, "little") if number >= 0 and tokens[i] == key else array(code, self.merged(key)).tobytes()
+            for key, number, i in zip(raw, numbers.tolist(), ids)
+        ]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = list(map(self.find, texts))
+    def _together(self, found: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pre-tokens, which are remembered."""
         known = self.pieces
         new = {p for pieces in found for p in pieces if p not in known}
         if len(known) + len(new) > PIECES:
@@ -155,11 +154,19 @@ class Codec(subword.WordEncoder):
             known, new = self.pieces, {p for pieces in found for p in pieces}
         older = self.older
         known.update([(p, older[p]) for p in new if p in older])
-        self.learn([p for p in new if p not in known])
+        unknown = [p for p in new if p not in known]
+        known.update(zip(unknown, self.coded(unknown)))
         return [b"".join([known[p] for p in pieces]) for pieces in found]
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return self._together(list(map(self.find, texts)))
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = self.whole([" " + w for w in words])
+        found = [self.find(" " + w) for w in words]
+        one = self.coded([f[0] for f in found if len(f) == 1])
+        several = self._together([f for f in found if len(f) != 1])
+        a, b = iter(one), iter(several)
+        made = [next(a) if len(f) == 1 else next(b) for f in found]
         return np.frombuffer(b"".join(made), self.dtype), np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
 
     def decode(self, ids: list[int]) -> bytes:
@@ -217,7 +224,7 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, schema, digest = codec(name), common.arrow_schema(ddl), hashlib.sha256
         for batch in common.freed(batches):
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", 16 << 20):
                 flat, lengths = use.encode_arrays(part.column(1))
                 stops = np.cumsum(lengths)
                 each = (flat[a:b].tolist() for a, b in zip((stops - lengths).tolist(), stops.tolist()))

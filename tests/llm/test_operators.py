@@ -191,6 +191,15 @@ def test_bpe_odd_texts(oracle, monkeypatch):
     assert sorted(hashed.number(keys).tolist()) == list(range(5000))
 
 
+def test_bpe_words_are_remembered_once(oracle):
+    """A word of one pre-token is not among the pre-tokens as well."""
+    codec = bpe.Codec(common.tokenizer_file(bpe.VOCABULARY), oracle._pat_str)
+    text = "a " + " ".join(f"q{'xyz'[i % 3] * (i // 3 + 1)}k" for i in range(60)) + " it's, so"
+    (got,) = codec.encode_batch([text])
+    assert np.frombuffer(got, codec.dtype).tolist() == oracle.encode_ordinary(text)
+    assert len(codec.known) >= 60 and not any(w in codec.pieces for w in (" qxk", " qzzk"))
+
+
 # ---------------------------------------------------------------- 3
 
 
