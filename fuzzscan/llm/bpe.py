@@ -22,6 +22,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A Python worker remembers the ids of so many pre-tokens of words that hold several, and of as many older ones: about 250
 #: bytes each. Words that are one pre-token are remembered with the other words alone.
 PIECES = 80_000
+#: Words that are split into pre-tokens at once: what lies between a word and its ids takes some 500 bytes a word.
+BLOCK = 1 << 15
 
 
 class PerfectHash:
@@ -162,12 +164,16 @@ class Codec(subword.WordEncoder):
         return self._together(list(map(self.find, texts)))
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.find(" " + w) for w in words]
-        one = self.coded([f[0] for f in found if len(f) == 1])
-        several = self._together([f for f in found if len(f) != 1])
-        a, b = iter(one), iter(several)
-        made = [next(a) if len(f) == 1 else next(b) for f in found]
-        return np.frombuffer(b"".join(made), self.dtype), np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
+        ids, sizes = [], []
+        for at in range(0, len(words), BLOCK):
+            found = [self.find(" " + w) for w in words[at : at + BLOCK]]
+            one = self.coded([f[0] for f in found if len(f) == 1])
+            several = self._together([f for f in found if len(f) != 1])
+            a, b = iter(one), iter(several)
+            made = [next(a) if len(f) == 1 else next(b) for f in found]
+            ids.append(b"".join(made))
+            sizes.append(np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize)
+        return np.frombuffer(b"".join(ids), self.dtype), np.concatenate(sizes)
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.tokens
@@ -221,15 +227,20 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     without a shuffle. Cases as for encode()."""
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(part: pa.RecordBatch) -> pa.RecordBatch:
         use, schema, digest = codec(name), common.arrow_schema(ddl), hashlib.sha256
+        flat, lengths = use.encode_arrays(part.column(1))
+        stops = np.cumsum(lengths)
+        each = (flat[a:b].tolist() for a, b in zip((stops - lengths).tolist(), stops.tolist()))
+        made = [(len(ids), digest(use.listed(ids)).hexdigest(), digest(use.decode(ids)).hexdigest()) for ids in each]
+        return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*made), list(schema)[1:]))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.freed(batches):
-            for part in common.slices(batch, "text", 16 << 20):
-                flat, lengths = use.encode_arrays(part.column(1))
-                stops = np.cumsum(lengths)
-                each = (flat[a:b].tolist() for a, b in zip((stops - lengths).tolist(), stops.tolist()))
-                made = [(len(ids), digest(use.listed(ids)).hexdigest(), digest(use.decode(ids)).hexdigest()) for ids in each]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*made), list(schema)[1:]))], schema=schema)
+            for part in common.slices(batch, "text"):
+                made = digests(part)
+                common.release()
+                yield made
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ddl)
 

@@ -6,6 +6,8 @@ import hashlib
 import io
 import math
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -200,6 +202,41 @@ def test_bpe_words_are_remembered_once(oracle):
     assert len(codec.known) >= 60 and not any(w in codec.pieces for w in (" qxk", " qzzk"))
 
 
+ENCODING = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from fuzzscan.llm import bpe
+
+class Frame:  # gives what a worker runs
+    selectExpr = lambda self, *_: self
+    mapInArrow = lambda self, run, ddl: run
+
+def words(rng, n):  # of 7 letters, one of six met nowhere else
+    out = np.frombuffer(b"etaoinshrdlu", np.uint8)[rng.integers(0, 12, (n, 8), np.uint8)]
+    out[:, 7] = 32
+    often = np.flatnonzero(rng.integers(0, 6, n, np.uint8))
+    out[often] = out[often % 1000]
+    return out.tobytes()
+
+rng, row = np.random.default_rng(1), 4096
+flat = b"".join([words(rng, 1 << 16) for _ in range(64)])
+edges = np.arange(0, len(flat) + 1, row, dtype=np.int32)
+texts = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(flat))
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], names=["doc_id", "text"])
+run = bpe.round_trip(Frame())
+bpe.codec(bpe.VOCABULARY)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = sum(made.num_rows for made in run(iter([batch])))
+print(rows == batch.num_rows, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+def test_bpe_memory():
+    """A worker needs a small part of an executor's memory beside its batch, many new words or not."""
+    whole, mb = subprocess.run([sys.executable, "-c", ENCODING], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert whole == "True" and int(mb) < 300
+
+
 # ---------------------------------------------------------------- 3
 
 
