@@ -11,6 +11,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -385,6 +386,43 @@ def test_attention_gradients():
         assert abs((up - down) / (2 * h) - g[name][at]) < 2e-3 * max(0.05, abs(g[name][at])), name
 
 
+@pytest.mark.parametrize("far", [1, 100])
+def test_attention_step_in_parts(far):
+    """A step over more windows than are worked through at once, the last ones fewer, with places that do not count, gives
+    the sums of its windows' own; also where scores are too large for exp()."""
+    model, _, walk = toy_model(False)
+    model.p = {k: x.astype(np.float64) * (far if k in "qw" else 1) for k, x in model.p.items()}
+    ids = np.array([walk(attention.WINDOW + 1) for _ in range(2 * attention.TOGETHER + 5)])
+    kinds, targets = model.kind[ids[:, :-1]], model.cls[ids[:, 1:]]
+    real = np.arange(attention.WINDOW) < 1 + np.arange(len(ids))[:, None] % attention.WINDOW
+    loss, g = model.step(kinds, targets, real)
+    own = [model.step(kinds[i : i + 1], targets[i : i + 1], real[i : i + 1]) for i in range(len(ids))]
+    share = real.sum(1) / real.sum()
+    assert abs(loss - sum(s * one for s, (one, _) in zip(share, own))) < 1e-5 * abs(loss)
+    for k in g:
+        want = sum(s * one[k] for s, (_, one) in zip(share, own))
+        assert np.abs(g[k] - want).max() < 1e-5 * np.abs(want).max(), k
+
+
+def test_rows_summed_by_number():
+    rng = np.random.default_rng(3)
+    for row in (rng.integers(0, 9, 1000), np.minimum(rng.geometric(0.05, 1000), 98), np.zeros(0, int), np.full(15, 4), np.full(16, 4)):
+        x, want = rng.standard_normal((len(row), 5)), np.zeros((99, 5))
+        np.add.at(want, row, x)
+        assert np.allclose(attention._by_row(x, row, 99), want)
+
+
+def test_words_listed():
+    """Distinct words, empty ones and ones beyond ASCII included, come out of one string in their order."""
+    words = pa.array(["a", "", "\u00e9\u4e2d", "b\nc", ""])
+    assert common.joined(words).split(b" ") == [w.encode() for w in words.to_pylist()]
+    texts = [None, "", " A b\n", "\u00c9 a\x0bB", "a"]
+    keys, codes, n = common.coded(pa.array(texts, pa.string()))
+    want = [(t or "").encode().translate(common.LOWER).split() for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    assert keys[codes].tolist() == [int(np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64)) for ws in want for w in ws]
+
+
 def test_windows_score_each_token_once():
     model, _, walk = toy_model()
     lengths = np.array([0, 1, 7, 8, 31, 32, 33, 56, 57, 200])
