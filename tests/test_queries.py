@@ -37,6 +37,21 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
+@pytest.mark.parametrize("name", ["iupac_code", "matching_seq", "reverse_complement", "valid_seq", "n_fraction", "iupac_exact", "dna_rc_k1"])
+def test_letters_with_several_capitals(spark, tmp_path, name):
+    """Letters whose capitals are two letters add no code and no base, first, last or inside."""
+    import duckdb
+
+    letters = "ß\u1e9e\u0149\u01f0\u0390\u0131\u0130\u017f\u212a\u1e96\u1e97\u1e98\u1e99\u1e9a\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06\U00010428"
+    texts = [x for c in letters for x in (c, f"{c}Acht\n", f"Nur y{c}.", f"gat{c}taca", f"1aNc{c}act{c}")]
+    docs = list(enumerate(["", "Stchß.", "Öß in", *texts]))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = table(queries.QUERIES[name](spark, str(tmp_path)).toPandas())
+    assert got == table(con.execute(queries.ORACLE_SQL[name]).df()) and got[1]
+
+
 def test_contamination(spark, tmp_path):
     """The query without SQL on whole tables, on a small one: items with edits, in the middle and at the ends."""
     import random
